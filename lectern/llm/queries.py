@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, licenses, lines, media, quality, secrets, token_counts
+from . import bpe, decontam, licenses, lines, media, quality, secrets, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_OF_TEXT = 50256
@@ -81,6 +81,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("key").alias("doc_id"), "n_tokens")
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lines": op5_lines,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
+    "op8_decontam": op8_decontam,
     "op9_quality": op9_quality,
 }
 
