@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-# Each mask looks at the words marked 1; its length is the length of the window.
-MASKS = ("110110010111", "111010011011", "101101101101")
+# Each mask looks at the words marked 1; its length is the length of the window. All masks look at the places KEY.
+MASKS = ("110110010111", "110111100101", "110110101101")
+KEY = (0, 1, 3, 4)
 STRIDE = 2
 WINDOW = 24
 MIN_SHARE = 0.8
@@ -27,20 +28,35 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed(h: str, at: Column, number: int, mask: str) -> Column:
-    return F.xxhash64(F.lit(number), *[F.get(h, at + i) for i, bit in enumerate(mask) if bit == "1"])
+def _hash(h: str, at: Column, places) -> Column:
+    return F.xxhash64(*[F.get(h, at + i) for i in places])
 
 
-def _windows(df: DataFrame, h: str, masks: list[str], stride: int = 1) -> DataFrame:
-    """Append (``at``, ``_mask``, ``seed``) for each masked window of the hashes in column ``h``; with a stride the last window stays."""
-    places = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.size(h) * len(masks) - 1)))
-    at, number = (F.col("_k") / len(masks)).cast("int"), F.col("_k") % len(masks)
-    span = reduce(lambda e, i: e.when(number == i, len(masks[i])), range(1, len(masks)), F.when(number == 0, len(masks[0])))
-    seed = reduce(lambda e, i: e.when(number == i, _seed(h, F.col("at"), i, masks[i])), range(1, len(masks)), F.when(number == 0, _seed(h, F.col("at"), 0, masks[0])))
-    fits = places.withColumn("at", at).withColumn("_mask", number).withColumn("_room", F.size(h) - F.col("at") - span).where("_room >= 0")
-    if stride > 1:
-        fits = fits.where((F.col("at") % stride == 0) | (F.col("_room") == 0))
-    return fits.withColumn("seed", seed).drop("_k", "_room")
+def _seeds(df: DataFrame, h: str, at: Column, masks: list[str]) -> DataFrame:
+    """One row (``_mask``, ``seed``) for each mask laid at place ``at`` of ``h``; null where it reaches beyond the end."""
+    ones = [[i for i, bit in enumerate(m) if bit == "1"] for m in masks]
+    each = [F.struct(F.lit(k).alias("_mask"), F.when(F.size(h) >= at + len(m), _hash(h, at, ones[k])).alias("seed")) for k, m in enumerate(masks)]
+    return df.withColumn("_s", F.explode(F.array(*each))).select(*df.columns, "_s.*").where("seed IS NOT NULL")
+
+
+def _near_keys(texts: DataFrame, keys: DataFrame, places: tuple[int, ...], window: int, span: int, small: bool) -> DataFrame:
+    """Rows (_doc, at, first, around): the words about each place of a text whose words at ``places`` make one of ``keys``.
+
+    This is the only step that touches every word, so it is one generated loop over the words with one look-up each.
+    """
+    least = max(places) + 1
+    rows = texts.where(F.size("_h") >= least)
+    every = rows.select("_doc", "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - least)).alias("at"))
+    keyed = every.withColumn("key", _hash("_h", F.col("at"), places))
+    if small:
+        met = keyed.join(F.broadcast(keys), "key", "left_semi")
+    else:
+        met = keyed.select("_doc", "at", "key").join(keys, "key", "left_semi").select(F.col("_doc").alias("_met"), "at")
+        met = rows.join(met, F.col("_doc").eqNullSafe(F.col("_met")))
+    first = F.greatest(F.lit(0), F.col("at") - window)
+    # The identity keeps this projection out of the generated loop above.
+    around = F.transform(F.slice("_h", first + 1, F.lit(2 * window + span)), lambda x: x)
+    return met.select("_doc", "at", first.alias("first"), around.alias("around"))
 
 
 def find_overlaps(
@@ -61,34 +77,20 @@ def find_overlaps(
     by one gapless mask of its own length. Null and empty texts and items have no words and no overlaps; rows that share
     a key are one document; repeated items are reported under each key. Other columns are not read.
 
-    Texts are not shuffled while the seeds number at most BROADCAST_SEEDS (they are counted first and broadcast); beyond
-    that, both sides meet in a shuffled join on the seed.
+    The words of a text are looked up once each, by the hash of four places that all masks share; only where those are
+    known are the masks laid. Texts are not shuffled while the seeds number at most BROADCAST_SEEDS (they are counted
+    first and broadcast); beyond that, places and keys meet in a shuffled join and their texts are joined again.
     """
     span = max(map(len, masks))
     items = benchmark.select(F.col(item_key).alias("_item"), word_hashes(F.col(item_text)).alias("_words")).where(F.size("_words") > 0)
-    items = materialize(items.withColumn("_id", F.monotonically_increasing_id()), "items")
-    short = sorted(n for (n,) in items.select(F.size("_words")).distinct().where(F.size("_words") < span).collect())
-    every = [*masks, *("1" * n for n in short)]
-    seeds = _windows(items, "_words", every, STRIDE).select("seed", "_id", "_mask", F.col("at").alias("_at"), F.size("_words").alias("_n"))
-    # The gapless masks serve items of just their length.
-    own = reduce(lambda e, i: e | ((F.col("_mask") == len(masks) + i) & (F.col("_n") == short[i])), range(len(short)), F.col("_mask") < len(masks))
-    seeds = materialize(seeds.where(own).drop("_mask"), "seeds")
-    small = seeds.count() <= BROADCAST_SEEDS
-    hint = F.broadcast if small else (lambda x: x)
-
-    texts = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("_h")).where(F.size("_h") > 0)
-    hits = _windows(texts, "_h", every).join(hint(seeds), "seed")
-    begin = F.greatest(F.lit(0), F.least(F.col("_at") - (window - span) // 2, F.col("_n") - window))
-    size = F.least(F.col("_n"), F.lit(window))
-    shift = F.col("at") - F.col("_at")
-    placed = hits.withColumn("_begin", begin).withColumn("_size", size).withColumn("_from", F.col("_begin") + shift)
-    placed = placed.withColumn("_cut", F.greatest(F.lit(0), -F.col("_from")))
-    # Only the stretch beside the item leaves the join, not the whole text.
-    beside = F.when(F.col("_size") > F.col("_cut"), F.slice("_h", F.col("_from") + F.col("_cut") + 1, F.col("_size") - F.col("_cut"))).otherwise(F.slice("_h", F.lit(1), F.lit(0)))
-    placed = placed.select("_doc", "_id", "_begin", "_size", "_cut", "_from", beside.alias("_beside")).join(hint(items), "_id")
-    same = F.zip_with(F.slice("_words", F.col("_begin") + F.col("_cut") + 1, F.col("_size") - F.col("_cut")), "_beside", lambda a, b: F.when(a == b, 1).otherwise(0))
-    scored = placed.withColumn("overlap_words", F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))))
-    scored = scored.withColumn("overlap_share", F.col("overlap_words") / F.col("_size")).where(F.col("overlap_share") >= min_share)
+    items = materialize(items.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.size("_words")), "items")
+    texts = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("_h"))
+    short = [n for (n,) in items.select("_n").distinct().where(F.col("_n") < span).collect()]
+    # Masks that share a key's places go together; the shortest items have keys of their own.
+    passes = [(KEY, F.col("_n") >= span, list(masks))]
+    passes += [(KEY if n > max(KEY) else tuple(range(n)), F.col("_n") == n, ["1" * n]) for n in sorted(short)]
+    hits = [_hits(items.where(which), texts, places, laid, window, span) for places, which, laid in passes]
+    scored = reduce(DataFrame.unionByName, hits).where(F.col("overlap_share") >= min_share)
     best = F.max(F.struct("overlap_share", "overlap_words", (-F.greatest(F.lit(0), F.col("_from"))).alias("at")))
     pairs = scored.groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("n_hits"), best.alias("b"))
     return pairs.select(
@@ -97,6 +99,27 @@ def find_overlaps(
     )
 
 
+def _hits(items: DataFrame, texts: DataFrame, key: tuple[int, ...], masks: list[str], window: int, span: int) -> DataFrame:
+    """Rows (_doc, _item, _from, overlap_words, overlap_share) for each meeting of a masked window."""
+    room = F.col("_n") - min(map(len, masks))
+    laid = items.select("_id", "_n", "_words", F.explode(F.sequence(F.lit(0), room)).alias("_at")).where((F.col("_at") % STRIDE == 0) | (F.col("_at") == room))
+    seeds = _seeds(laid, "_words", F.col("_at"), masks).withColumn("key", _hash("_words", F.col("_at"), key)).drop("_words")
+    seeds = materialize(seeds, "seeds")
+    small = seeds.count() <= BROADCAST_SEEDS
+    hint = F.broadcast if small else (lambda x: x)
+    near = _near_keys(texts, seeds.select("key").distinct(), key, window, span, small)
+    met = _seeds(near, "around", F.col("at") - F.col("first"), masks).join(hint(seeds.drop("key")), ["_mask", "seed"]).join(hint(items.drop("_n")), "_id")
+    begin = F.greatest(F.lit(0), F.least(F.col("_at") - (window - span) // 2, F.col("_n") - window))
+    placed = met.withColumn("_begin", begin).withColumn("_size", F.least(F.col("_n"), F.lit(window)))
+    placed = placed.withColumn("_from", F.col("_begin") + F.col("at") - F.col("_at")).withColumn("_cut", F.greatest(F.lit(0), -F.col("_from")))
+    part = F.greatest(F.lit(0), F.col("_size") - F.col("_cut"))
+    item = F.slice("_words", F.col("_begin") + F.col("_cut") + 1, part)
+    text = F.slice("around", F.col("_from") + F.col("_cut") - F.col("first") + 1, part)
+    same = F.aggregate(F.zip_with(item, text, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    scored = placed.withColumn("overlap_words", same)
+    return scored.select("_doc", "_item", "_from", "overlap_words", (F.col("overlap_words") / F.col("_size")).alias("overlap_share"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose key has an overlap with a benchmark item; see ``find_overlaps``."""
     bad = materialize(find_overlaps(docs, benchmark, doc_key, **options).select(F.col(doc_key).alias("_bad")).distinct(), "contaminated")
