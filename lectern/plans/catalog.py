@@ -1,10 +1,6 @@
-"""Queries over the driver's tables, one per operator, and the same in SQL."""
+"""All queries over the driver's tables, and their SQL."""
 
-from __future__ import annotations
+from lectern.plans import store_queries, text_queries, vector_queries  # noqa: F401
+from lectern.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
