@@ -103,13 +103,18 @@ class Store:
     def ping(self) -> bool:
         return self.spark.sql("SELECT 1").first()[0] == 1
 
+    def _table(self, table: str) -> DataFrame:
+        """A table as it is now: a stream writes in a session of its own."""
+        self.spark.catalog.refreshTable(self.name(table))
+        return self.spark.table(self.name(table))
+
     def files(self) -> DataFrame:
-        return self.spark.table(self.name("files"))
+        return self._table("files")
 
     def chunks(self) -> DataFrame:
         """The chunks of files that are there."""
         known = self.files().select(F.col("id").alias("file_id"))
-        return self.spark.table(self.name("doc_chunks")).drop("batch").join(known, "file_id", "left_semi").select("id", "file_id", "chunk_index", "text_data", "embeddings")
+        return self._table("doc_chunks").drop("batch").join(known, "file_id", "left_semi").select("id", "file_id", "chunk_index", "text_data", "embeddings")
 
     def ingest(self, docs: DataFrame, batch: str, chunker) -> dict:
         """Insert the new ones of ``docs`` (title, text). ``chunker`` maps (file_id, text) to chunks. Returns counts.
@@ -124,9 +129,9 @@ class Store:
             fresh = new_files(as_files(full), self.files())
             made = chunker(fresh.select(F.col("id").alias("file_id"), F.col("extracted_text").alias("text")))
             rows = made.select(F.col("chunk_id").alias("id"), "file_id", "chunk_index", "text_data", "embeddings", F.lit(batch).alias("batch"))
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")  # a stream has a session of its own
             rows.write.mode("overwrite").insertInto(self.name("doc_chunks"), overwrite=True)
-            written = self.spark.table(self.name("doc_chunks")).where(F.col("batch") == batch)
+            written = self._table("doc_chunks").where(F.col("batch") == batch)
             n_chunks = written.count()
             new = fresh.select("id", "title", "extracted_text")
             n_files = new.count()
@@ -142,14 +147,14 @@ class Store:
         row.withColumn("at", F.current_timestamp()).write.mode("append").insertInto(self.name("ingest_audit"))
 
     def status(self, batch: str) -> DataFrame:
-        return self.spark.table(self.name("ingest_audit")).where(F.col("batch") == batch)
+        return self._table("ingest_audit").where(F.col("batch") == batch)
 
     def delete(self, file_id: str) -> None:
         """Remove a file and its chunks; both tables are rewritten through a staging table."""
         ids = self.spark.createDataFrame([(file_id,)], "id string")
         gone = ids.withColumnRenamed("id", "_gone")
         for table, key in (("doc_chunks", "file_id"), ("files", "id")):
-            rest = self.spark.table(self.name(table))
+            rest = self._table(table)
             rest = rest.join(gone, rest[key] == gone["_gone"], "left_anti")
             staging = self.name(f"{table}_staging")
             self.spark.sql(f"DROP TABLE IF EXISTS {staging}")

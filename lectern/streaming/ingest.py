@@ -14,7 +14,7 @@ from lectern.operators.store import Store
 
 def arriving_texts(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """A stream of rows (title, text) of the text files that appear below ``path``."""
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", True).text(path)
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
     return raw.select(title_of_path(F.regexp_replace(F.col("_metadata.file_path"), r"\.(md|txt)$", ".pdf")).alias("title"), clean_lines(F.col("value")).alias("text"))
 
 
