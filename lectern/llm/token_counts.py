@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import materialize, open_fs, scratch
+from .common import materialize, open_fs, released, scratch, small_batches
 
 BLOCK_TOKENS = 1 << 20
 
@@ -50,7 +50,7 @@ def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, eod:
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
     kind_of_key = df.select(key_col).schema[0].dataType.simpleString()
-    return materialize(df.select(key_col, text_col).mapInArrow(run, f"file string, ordinal long, key {kind_of_key}"), "token-index")
+    return materialize(small_batches(df.select(key_col, text_col)).mapInArrow(released(run), f"file string, ordinal long, key {kind_of_key}"), "token-index")
 
 
 def scan(files: DataFrame, folder: str, eod: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -99,4 +99,5 @@ def count_tokens(df: DataFrame, path: str, pattern: str, eod: int, key_col: str
     folder = scratch(df.sparkSession, "tokens")
     index = write_token_files(df, folder, path, pattern, eod, key_col, text_col)
     counts = scan(index, folder, eod, block_tokens)
-    return index.join(counts, ["file", "ordinal"]).select("key", "file", "ordinal", "start", "n_tokens")
+    # Both sides have a row for each document, however small the index's file is: no broadcast.
+    return index.hint("merge").join(counts, ["file", "ordinal"]).select("key", "file", "ordinal", "start", "n_tokens")
