@@ -137,6 +137,21 @@ def load(path: str, pattern: str) -> ByteBpe:
     return _cached[path, pattern]
 
 
+def _ids(made: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(x) // 4 for x in made]).astype("i4")
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(made))])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _bytes(codec: ByteBpe, ids: pa.Array) -> pa.Array:
+    ids = ids.fill_null([]) if ids.null_count else ids
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
+_IDS = T.ArrayType(T.IntegerType(), False)
+
+
 def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Append ``out_col`` (array of int), the token ids of each whole text.
 
@@ -146,21 +161,22 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "te
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         codec = load(path, pattern)
-        made = [codec.encode(t or "") for t in texts.to_pylist()]
-        offsets = np.cumsum([0] + [len(x) // 4 for x in made]).astype("i4")
-        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(made))])
-        return [pa.ListArray.from_arrays(pa.array(offsets), values)]
+        return [_ids([codec.encode(t.as_py() or "") for t in texts])]
 
-    return append_columns(df, [T.StructField(out_col, T.ArrayType(T.IntegerType(), False))], compute, [text_col])
+    return append_columns(df, [T.StructField(out_col, _IDS)], compute, [text_col])
 
 
 def decode_documents(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Append ``out_col`` (binary), the bytes that the ids stand for. Null ids give no bytes; an unknown id is an error."""
+    return append_columns(df, [T.StructField(out_col, T.BinaryType())], lambda ids: [_bytes(load(path, pattern), ids)], [ids_col])
+
 
-    def compute(ids: pa.Array) -> list[pa.Array]:
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Append both, the ids of each text and the bytes decoded from these ids, in one pass through a Python worker."""
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
         codec = load(path, pattern)
-        ids = ids.fill_null([]) if ids.null_count else ids
-        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        return [pa.array([codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+        ids = _ids([codec.encode(t.as_py() or "") for t in texts])
+        return [ids, _bytes(codec, ids)]
 
-    return append_columns(df, [T.StructField(out_col, T.BinaryType())], compute, [ids_col])
+    return append_columns(df, [T.StructField(ids_col, _IDS), T.StructField(out_col, T.BinaryType())], compute, [text_col], rows=256)

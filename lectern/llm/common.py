@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 BATCH_ROWS = 512
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's limit on the rows of an Arrow batch was lowered to ARROW_ROWS.
+
+    Texts can be long; buffers on both sides of a Python worker are as large as a batch.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which a Python worker, which outlives the task, gives free memory back to the system."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            import ctypes
+
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return whole
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI; a bare path is local."""
     from pyarrow import fs
@@ -46,6 +74,17 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be a column of ``df`` in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -70,4 +109,4 @@ def append_columns(
                 made = compute(*[part.column(i) for i in at])
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + made, names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(released(run), schema)

@@ -21,9 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode_documents(ids, RANKS, public_tokenizers.PATTERN)
-    return both.select(
+    return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

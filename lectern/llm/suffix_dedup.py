@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released, small_batches
 
 LENGTH = 400
 GRAM = 128
@@ -185,7 +185,7 @@ def _winnowed(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
                 )
 
     out = f"doc {kind}, digest binary, n_bytes long, hashes array<long>, places array<int>, own array<struct<start: long, end: long>>"
-    return df.select(key_col, text_col, _digest(text_col).alias("digest")).mapInArrow(run, out)
+    return small_batches(df.select(key_col, text_col, _digest(text_col).alias("digest"))).mapInArrow(released(run), out)
 
 
 def _surroundings(texts: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _surroundings(texts: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hash", "hot", "digest", "place", "left", "around"])
 
-    return texts.mapInArrow(run, "hash long, hot boolean, digest binary, place int, left int, around binary")
+    return texts.mapInArrow(released(run), "hash long, hot boolean, digest binary, place int, left int, around binary")
 
 
 def _merged(around: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _merged(around: DataFrame) -> DataFrame:
             )
 
     ordered = around.drop("hot").repartition("hash").sortWithinPartitions("hash", "digest", "place")
-    return ordered.mapInArrow(run, "digest binary, start long, end long")
+    return ordered.mapInArrow(released(run), "digest binary, start long, end long")
 
 
 def _counted(around: DataFrame) -> DataFrame:
@@ -339,4 +339,4 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
 
     there = df.select(key_col, text_col, _digest(text_col).alias("digest"))
     joined = there.join(F.broadcast(spans) if small else spans, F.col("digest") == F.col("d"), "left").select(key_col, text_col, "spans")
-    return joined.mapInArrow(run, f"`{key_col}` {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    return joined.mapInArrow(released(run), f"`{key_col}` {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
