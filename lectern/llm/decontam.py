@@ -20,7 +20,8 @@ KEY = (0, 1, 3, 4)
 STRIDE = 2
 WINDOW = 24
 MIN_SHARE = 0.8
-BROADCAST_SEEDS = 500_000
+SEGMENT = 2048
+BROADCAST_SEEDS = 200_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -39,24 +40,39 @@ def _seeds(df: DataFrame, h: str, at: Column, masks: list[str]) -> DataFrame:
     return df.withColumn("_s", F.explode(F.array(*each))).select(*df.columns, "_s.*").where("seed IS NOT NULL")
 
 
+def _segments(df: DataFrame, h: str, window: int, span: int) -> DataFrame:
+    """Cut the hashes in ``h`` into rows of at most SEGMENT places each, so that long texts make small rows.
+
+    ``part`` also has the words around a segment that its places need, ``low`` is where it begins in the text and ``skip``
+    the number of its words before the segment.
+    """
+    start = F.sequence(F.lit(0), F.size(h) - 1, F.lit(SEGMENT))
+
+    def cut(at: Column) -> Column:
+        low = F.greatest(F.lit(0), at - window)
+        return F.struct(low.alias("low"), (at - low).alias("skip"), F.slice(h, low + 1, at - low + SEGMENT + window + span).alias("part"))
+
+    return df.where(F.size(h) > 0).withColumn("_c", F.explode(F.transform(start, cut))).select(*[c for c in df.columns if c != h], "_c.*")
+
+
 def _near_keys(texts: DataFrame, keys: DataFrame, places: tuple[int, ...], window: int, span: int, small: bool) -> DataFrame:
     """Rows (_doc, at, first, around): the words about each place of a text whose words at ``places`` make one of ``keys``.
 
     This is the only step that touches every word, so it is one generated loop over the words with one look-up each.
     """
-    least = max(places) + 1
-    rows = texts.where(F.size("_h") >= least)
-    every = rows.select("_doc", "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - least)).alias("at"))
-    keyed = every.withColumn("key", _hash("_h", F.col("at"), places))
+    rows = _segments(texts, "_h", window, span)
+    last = F.least(F.col("skip") + SEGMENT, F.size("part") - max(places)) - 1
+    every = rows.where(last >= F.col("skip")).select("_doc", "low", "part", F.explode(F.sequence("skip", last)).alias("i"))
+    keyed = every.withColumn("key", _hash("part", F.col("i"), places))
     if small:
         met = keyed.join(F.broadcast(keys), "key", "left_semi")
     else:
-        met = keyed.select("_doc", "at", "key").join(keys, "key", "left_semi").select(F.col("_doc").alias("_met"), "at")
-        met = rows.join(met, F.col("_doc").eqNullSafe(F.col("_met")))
-    first = F.greatest(F.lit(0), F.col("at") - window)
+        met = keyed.select("_doc", "low", "i", "key").join(keys, "key", "left_semi").select(F.col("_doc").alias("_met"), F.col("low").alias("_low"), "i")
+        met = rows.join(met, F.col("_doc").eqNullSafe(F.col("_met")) & (F.col("low") == F.col("_low")))
+    first = F.greatest(F.lit(0), F.col("i") - window)
     # The identity keeps this projection out of the generated loop above.
-    around = F.transform(F.slice("_h", first + 1, F.lit(2 * window + span)), lambda x: x)
-    return met.select("_doc", "at", first.alias("first"), around.alias("around"))
+    around = F.transform(F.slice("part", first + 1, F.lit(2 * window + span)), lambda x: x)
+    return met.select("_doc", (F.col("low") + F.col("i")).alias("at"), (F.col("low") + first).alias("first"), around.alias("around"))
 
 
 def find_overlaps(
@@ -83,7 +99,7 @@ def find_overlaps(
     """
     span = max(map(len, masks))
     items = benchmark.select(F.col(item_key).alias("_item"), word_hashes(F.col(item_text)).alias("_words")).where(F.size("_words") > 0)
-    items = materialize(items.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.size("_words")), "items")
+    items = materialize(items.withColumn("_n", F.size("_words")), "items")
     texts = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("_h"))
     short = [n for (n,) in items.select("_n").distinct().where(F.col("_n") < span).collect()]
     # Masks that share a key's places go together; the shortest items have keys of their own.
@@ -102,22 +118,25 @@ def find_overlaps(
 def _hits(items: DataFrame, texts: DataFrame, key: tuple[int, ...], masks: list[str], window: int, span: int) -> DataFrame:
     """Rows (_doc, _item, _from, overlap_words, overlap_share) for each meeting of a masked window."""
     room = F.col("_n") - min(map(len, masks))
-    laid = items.select("_id", "_n", "_words", F.explode(F.sequence(F.lit(0), room)).alias("_at")).where((F.col("_at") % STRIDE == 0) | (F.col("_at") == room))
-    seeds = _seeds(laid, "_words", F.col("_at"), masks).withColumn("key", _hash("_words", F.col("_at"), key)).drop("_words")
-    seeds = materialize(seeds, "seeds")
+    parts = _segments(items.select("_item", "_n", F.col("_words")), "_words", window, span)
+    last = F.least(F.col("skip") + SEGMENT - 1, room - F.col("low"))
+    laid = parts.where(last >= F.col("skip")).withColumn("i", F.explode(F.sequence("skip", last))).withColumn("_at", F.col("low") + F.col("i"))
+    laid = laid.where((F.col("_at") % STRIDE == 0) | (F.col("_at") == room))
+    begin = F.greatest(F.lit(0), F.least(F.col("_at") - (window - span) // 2, F.col("_n") - window))
+    # A seed brings the stretch of its item that is laid beside the text.
+    laid = laid.withColumn("_begin", begin).withColumn("_beside", F.slice("part", F.col("_begin") - F.col("low") + 1, F.least(F.col("_n"), F.lit(window)))).withColumn("key", _hash("part", F.col("i"), key))
+    seeds = materialize(_seeds(laid, "part", F.col("i"), masks).select("_item", "_at", "_begin", "_beside", "key", "_mask", "seed"), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
-    hint = F.broadcast if small else (lambda x: x)
     near = _near_keys(texts, seeds.select("key").distinct(), key, window, span, small)
-    met = _seeds(near, "around", F.col("at") - F.col("first"), masks).join(hint(seeds.drop("key")), ["_mask", "seed"]).join(hint(items.drop("_n")), "_id")
-    begin = F.greatest(F.lit(0), F.least(F.col("_at") - (window - span) // 2, F.col("_n") - window))
-    placed = met.withColumn("_begin", begin).withColumn("_size", F.least(F.col("_n"), F.lit(window)))
-    placed = placed.withColumn("_from", F.col("_begin") + F.col("at") - F.col("_at")).withColumn("_cut", F.greatest(F.lit(0), -F.col("_from")))
-    part = F.greatest(F.lit(0), F.col("_size") - F.col("_cut"))
-    item = F.slice("_words", F.col("_begin") + F.col("_cut") + 1, part)
+    lookup = seeds.drop("key")
+    met = _seeds(near, "around", F.col("at") - F.col("first"), masks).join(F.broadcast(lookup) if small else lookup, ["_mask", "seed"])
+    placed = met.withColumn("_from", F.col("_begin") + F.col("at") - F.col("_at")).withColumn("_cut", F.greatest(F.lit(0), -F.col("_from")))
+    part = F.greatest(F.lit(0), F.size("_beside") - F.col("_cut"))
+    item = F.slice("_beside", F.col("_cut") + 1, part)
     text = F.slice("around", F.col("_from") + F.col("_cut") - F.col("first") + 1, part)
     same = F.aggregate(F.zip_with(item, text, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     scored = placed.withColumn("overlap_words", same)
-    return scored.select("_doc", "_item", "_from", "overlap_words", (F.col("overlap_words") / F.col("_size")).alias("overlap_share"))
+    return scored.select("_doc", "_item", "_from", "overlap_words", (F.col("overlap_words") / F.size("_beside")).alias("overlap_share"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", **options) -> DataFrame:
