@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 MAX_RATIO = 0.05
 MIN_PAGES = 3
@@ -48,22 +48,23 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     """
     found = materialize(boilerplate(df, host_col, text_col, max_ratio, min_pages), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("bad")), F.lit(0))).first()[0]
-    found = found.withColumnsRenamed({"host": "_host", "bad": "_bad"})
-    same = F.col(host_col).eqNullSafe(F.col("_host"))
+    host, bad, salt, copy, kept = unused(df, "host", "bad", "salt", "copy", "kept")
+    found = found.withColumnsRenamed({"host": host, "bad": bad})
+    same = F.col(host_col).eqNullSafe(F.col(host))
     if size <= BROADCAST_LINES:
         joined = df.join(F.broadcast(found), same, "left")
     else:
-        salted = df.withColumn("_salt", (F.xxhash64(text_col) % SALTS + SALTS) % SALTS)
-        copies = found.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(copies, same & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
+        salted = df.withColumn(salt, F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
+        copies = found.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(copies, same & (F.col(salt) == F.col(copy)), "left").drop(salt, copy)
     lines = F.split(text_col, "\n", -1)
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), _key(x))))
-    out = joined.withColumn("_kept", kept)
+    rest = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(bad), _key(x))))
+    out = joined.withColumn(kept, rest)
     if counts:
-        gone = F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0))
+        gone = F.coalesce(F.size(lines) - F.size(kept), F.lit(0))
         out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
         out = out.withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(gone).cast("long"))
-    return out.withColumn(text_col, F.array_join("_kept", "\n")).drop("_kept", "_host", "_bad")
+    return out.withColumn(text_col, F.array_join(kept, "\n")).drop(kept, host, bad)
 
 
 def sql(max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import open_fs, scratch
+from .common import open_fs, released, scratch, small_batches
 
 LINE = 192
 ARCHIVE_BYTES = 64 << 20
@@ -55,7 +55,9 @@ def from_png(media: bytes) -> bytes:
         raise ValueError("not a PNG file")
     at, data = 8, b""
     while at < len(media):
-        (n,) = struct.unpack_from(">I", media, at)
+        n = int.from_bytes(media[at : at + 4], "big")
+        if at + 12 + n > len(media):
+            raise ValueError("a chunk is cut off")
         kind, body = media[at + 4 : at + 8], media[at + 8 : at + 8 + n]
         if zlib.crc32(kind + body) != struct.unpack_from(">I", media, at + 8 + n)[0]:
             raise ValueError("a chunk is damaged")
@@ -117,7 +119,7 @@ def write_archives(df: DataFrame, folder: str, key_col: str, text_col: str) -> i
 
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
-    return df.select(key_col, text_col).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return small_batches(df.select(key_col, text_col)).mapInArrow(released(run), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 @dataclass

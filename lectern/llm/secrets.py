@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 # The patterns of the base kinds, in their order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -147,10 +149,11 @@ def scan_secrets(df: DataFrame, text_col: str = "text", q: float = FALSE_DISCOVE
     tested = df.select(F.explode(candidates(text)).alias("c")).select("c.log_p")
     limit = threshold(tested, q)
     assign, access, hexes = base_spans(text)
-    out = df.withColumn("_base", F.concat(assign, access, hexes)).withColumn("_more", candidates(text))
+    base, other = unused(df, "base", "other")
+    out = df.withColumn(base, F.concat(assign, access, hexes)).withColumn(other, candidates(text))
     order = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(KINDS), s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
     shape = lambda a: F.transform(order(a), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     short = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    more = F.col("_more") if math.isinf(limit) else F.filter("_more", lambda s: s["log_p"] < F.lit(limit))
-    out = out.withColumn("base_spans", shape(F.col("_base"))).withColumn("spans", shape(F.concat(short(F.col("_base")), short(more))))
-    return out.drop("_base", "_more")
+    more = F.col(other) if math.isinf(limit) else F.filter(other, lambda s: s["log_p"] < F.lit(limit))
+    out = out.withColumn("base_spans", shape(F.col(base))).withColumn("spans", shape(F.concat(short(F.col(base)), short(more))))
+    return out.drop(base, other)
