@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, decontam, jaccard, licenses, lines, media, quality, secrets, suffix_dedup, token_counts
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_OF_TEXT = 50256
@@ -109,7 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op5_lines": lines.sql(),
-}
