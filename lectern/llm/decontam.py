@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-# Each mask looks at the words marked 1; its length is the length of the window. All masks look at the places KEY.
+# Each mask looks at the words marked 1; its length is the length of the window. All have KEY_WORDS places in common.
 MASKS = ("110110010111", "110111100101", "110110101101")
-KEY = (0, 1, 3, 4)
+KEY_WORDS = 4
 STRIDE = 2
 WINDOW = 24
 MIN_SHARE = 0.8
@@ -29,6 +29,14 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def shared_places(masks) -> tuple[int, ...]:
+    """The first KEY_WORDS places that all masks look at."""
+    common = [i for i in range(min(map(len, masks))) if all(m[i] == "1" for m in masks)]
+    if len(common) < KEY_WORDS:
+        raise ValueError(f"the masks need {KEY_WORDS} places in common")
+    return tuple(common[:KEY_WORDS])
+
+
 def _hash(h: str, at: Column, places) -> Column:
     return F.xxhash64(*[F.get(h, at + i) for i in places])
 
@@ -103,8 +111,8 @@ def find_overlaps(
     texts = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("_h"))
     short = [n for (n,) in items.select("_n").distinct().where(F.col("_n") < span).collect()]
     # Masks that share a key's places go together; the shortest items have keys of their own.
-    passes = [(KEY, F.col("_n") >= span, list(masks))]
-    passes += [(KEY if n > max(KEY) else tuple(range(n)), F.col("_n") == n, ["1" * n]) for n in sorted(short)]
+    passes = [(shared_places(masks), F.col("_n") >= span, list(masks))]
+    passes += [(tuple(range(min(n, KEY_WORDS))), F.col("_n") == n, ["1" * n]) for n in sorted(short)]
     hits = [_hits(items.where(which), texts, places, laid, window, span) for places, which, laid in passes]
     scored = reduce(DataFrame.unionByName, hits).where(F.col("overlap_share") >= min_share)
     best = F.max(F.struct("overlap_share", "overlap_words", (-F.greatest(F.lit(0), F.col("_from"))).alias("at")))

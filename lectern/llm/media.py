@@ -80,7 +80,7 @@ def feature(payload: bytes) -> str:
 def write_archives(df: DataFrame, folder: str, key_col: str, text_col: str) -> int:
     """Write the texts of ``df`` as media members into archives below ``folder`` (a URI all executors see); their number.
 
-    Null texts are stored as empty payloads padded to one line; null keys stay null. Repeated rows give members of
+    Keys are integers; null ones stay null. Null texts are stored as empty payloads padded to one line. Repeated rows give members of
     their own. An archive appears under its name only when it is complete; the name is that of the task's partition, so a task that runs
     again replaces what it wrote before. Other columns are not read. An empty table writes no archive.
     """

@@ -30,6 +30,12 @@ def test_cases(spark, monkeypatch, limit):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [4, 5, 6, 7, 8]
 
 
+def test_masks_share_places():
+    assert decontam.shared_places(decontam.MASKS) == (0, 1, 3, 4)
+    with pytest.raises(ValueError):
+        decontam.shared_places(["1101", "1011"])
+
+
 def test_substitutions_up_to_a_fifth_are_found(spark):
     rng = random.Random(5)
     item = [f"i{k}" for k in range(36)]
