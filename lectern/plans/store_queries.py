@@ -21,7 +21,7 @@ def _incoming(spark, sf):
 def files(spark, sf):
     """The catalogue after all documents were saved: one row for each different text."""
     rows = store.as_files(_incoming(spark, sf))
-    return store.new_files(rows, rows.limit(0))
+    return store.new_files(rows, rows.where(F.lit(False)))
 
 
 FILES_SQL = """incoming AS (SELECT sha256(text) AS id, source || '-' || lang || '-' || doc_id AS title, text AS extracted_text, doc_id, source FROM documents),
@@ -99,15 +99,15 @@ def json_dataset_titles(spark, sf):
     return question_titles(table(spark, sf, "documents").withColumnRenamed("source", "document_title"))
 
 
-@query("dedupe_incoming", f"WITH {FILES_SQL} SELECT id, min(title) AS title FROM incoming WHERE id NOT IN (SELECT id FROM incoming WHERE doc_id % 5 = 0) GROUP BY id")
+@query("dedupe_incoming", f"WITH {FILES_SQL} SELECT id, min(title) AS title FROM incoming WHERE id NOT IN (SELECT id FROM incoming WHERE source = 'src3') GROUP BY id")
 def dedupe_incoming(spark, sf):
-    known = _incoming(spark, sf).where("doc_id % 5 = 0")
+    known = _incoming(spark, sf).where("source = 'src3'")
     return store.new_files(store.as_files(_incoming(spark, sf)), store.as_files(known)).select("id", "title")
 
 
-@query("save_dedupe", f"WITH {FILES_SQL} SELECT doc_id, CASE WHEN id IN (SELECT id FROM incoming WHERE doc_id % 5 = 0) THEN 'duplicate' ELSE 'new' END AS outcome FROM incoming")
+@query("save_dedupe", f"WITH {FILES_SQL} SELECT doc_id, CASE WHEN id IN (SELECT id FROM incoming WHERE source = 'src3') THEN 'duplicate' ELSE 'new' END AS outcome FROM incoming")
 def save_dedupe(spark, sf):
-    known = store.as_files(_incoming(spark, sf).where("doc_id % 5 = 0")).select("id").distinct().withColumn("_there", F.lit(True))
+    known = store.as_files(_incoming(spark, sf).where("source = 'src3'")).select("id").distinct().withColumn("_there", F.lit(True))
     rows = _incoming(spark, sf).select("doc_id", TX.content_hash(F.col("text")).alias("id"))
     return rows.join(known, "id", "left").select("doc_id", F.when(F.col("_there"), "duplicate").otherwise("new").alias("outcome"))
 
@@ -206,7 +206,7 @@ def tool_json(spark, sf):
     return c.select("id", F.to_json(F.struct("id", "file_id", "chunk_index", F.col("text_data").alias("text"))).alias("json"))
 
 
-# --- evaluation: benchmark items are the questions, their first 40 characters what a hit must hold ---
+# --- evaluation: benchmark items are the questions, and what a hit must hold ---
 
 SIZES = {"baseline": (400, 100), "semantic": (120, 30)}
 
@@ -231,9 +231,9 @@ def union_strategies(spark, sf):
     return _corpus(spark, sf).select("chunk_id", "strategy", "doc_id")
 
 
-@query("corpus_stats", f"WITH {CORPUS_SQL}, old AS (SELECT 'baseline' AS strategy, count(DISTINCT doc_id) AS skipped FROM documents WHERE doc_id % 4 = 0) SELECT strategy, count(DISTINCT doc_id) AS documents, count(*) AS chunks, coalesce(any_value(skipped), 0) AS skipped FROM corpus LEFT JOIN old USING (strategy) GROUP BY strategy")
+@query("corpus_stats", f"WITH {CORPUS_SQL}, old AS (SELECT 'baseline' AS strategy, count(DISTINCT doc_id) AS skipped FROM documents WHERE lang = 'de') SELECT strategy, count(DISTINCT doc_id) AS documents, count(*) AS chunks, coalesce(any_value(skipped), 0) AS skipped FROM corpus LEFT JOIN old USING (strategy) GROUP BY strategy")
 def corpus_stats(spark, sf):
-    old = table(spark, sf, "documents").where("doc_id % 4 = 0").select(F.lit("baseline").alias("strategy"), F.col("doc_id").alias("file_id"))
+    old = table(spark, sf, "documents").where("lang = 'de'").select(F.lit("baseline").alias("strategy"), F.col("doc_id").alias("file_id"))
     return evaluate.corpus_stats(_corpus(spark, sf).withColumnRenamed("doc_id", "file_id"), old)
 
 
@@ -246,7 +246,7 @@ def ingest_metrics(spark, sf):
 
 def _questions(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), "text", F.lit("").alias("document_title"), F.array(F.substring("text", 1, 40)).alias("expected_substrings"))
+    return b.select(F.col("item_id").alias("query_id"), "text", F.lit("").alias("document_title"), F.array("text").alias("expected_substrings"))
 
 
 def _first_hits(spark, sf):
@@ -260,7 +260,7 @@ def _first_hits(spark, sf):
 HITS_SQL = f"""WITH {CORPUS_SQL}, {hash_sql('corpus', 'chunk_id', name='cv')}, {hash_sql('benchmark', 'item_id', name='qv')},
 scored AS (SELECT q.item_id, c.chunk_id, round(1.0 - sum(q.x * c.x), 9) AS distance FROM qv_unit q JOIN cv_unit c USING (b) GROUP BY ALL),
 ranked AS (SELECT item_id, strategy, text, row_number() OVER (PARTITION BY item_id, strategy ORDER BY distance, chunk_id) AS rank FROM scored JOIN corpus USING (chunk_id)),
-judged AS (SELECT item_id, strategy, min(CASE WHEN contains(lower(r.text), lower(substr(b.text, 1, 40))) THEN rank END) AS rank FROM ranked r JOIN benchmark b USING (item_id) WHERE rank <= 5 GROUP BY ALL),
+judged AS (SELECT item_id, strategy, min(CASE WHEN contains(lower(r.text), lower(b.text)) THEN rank END) AS rank FROM ranked r JOIN benchmark b USING (item_id) WHERE rank <= 5 GROUP BY ALL),
 hits AS (SELECT b.item_id AS query_id, s.strategy, j.rank AS first_hit_rank FROM benchmark b, (SELECT DISTINCT strategy FROM corpus) s LEFT JOIN judged j ON j.item_id = b.item_id AND j.strategy = s.strategy)"""
 
 

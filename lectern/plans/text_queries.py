@@ -46,12 +46,13 @@ def title_case(spark, sf):
     return documents(spark, sf).select("doc_id", TX.title_of_path(path).alias("title"))
 
 
-@query("non_empty", rf"""SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || chr(9) ELSE text END AS t FROM documents) WHERE {_TRIM.format('t')} <> ''""")
+@query("non_empty", rf"""SELECT doc_id FROM (SELECT doc_id, text AS t FROM documents UNION ALL SELECT -1 - doc_id, ' ' || chr(10) || chr(9) FROM documents UNION ALL SELECT -1 - doc_id, '' FROM documents) WHERE {_TRIM.format('t')} <> ''""")
 def non_empty(spark, sf):
     from lectern.operators.store import split_empty
 
-    mixed = documents(spark, sf).withColumn("text", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, " \n\t").otherwise(F.col("text")))
-    return split_empty(mixed)[0].select("doc_id")
+    d = documents(spark, sf).select("doc_id", "text")
+    blank = d.select((-1 - F.col("doc_id")).alias("doc_id"), F.explode(F.array(F.lit(" \n\t"), F.lit(""))).alias("text"))
+    return split_empty(d.unionByName(blank))[0].select("doc_id")
 
 
 @query("clip_input", "SELECT doc_id, substr(text, 1, 8000) AS clipped FROM documents")

@@ -46,24 +46,25 @@ def topk_global(spark, sf):
     return hits.select("chunk_id", "document_title", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
-def _asked(spark, sf, n):
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def _asked(spark, sf):
+    """The questions of a batch: the vectors whose id is divisible by 100."""
+    return table(spark, sf, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query("batch_cross_search", f"""WITH {CHUNKS_SQL}, ranked AS (SELECT query_id, chunk_id, {DISTANCE_SQL} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {DISTANCE_SQL}, chunk_id) AS rank FROM chunks, asked WHERE query_id < 20)
+@query("batch_cross_search", f"""WITH {CHUNKS_SQL}, ranked AS (SELECT query_id, chunk_id, {DISTANCE_SQL} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {DISTANCE_SQL}, chunk_id) AS rank FROM chunks, asked WHERE query_id % 100 = 0)
 SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 3""")
 def batch_cross_search(spark, sf):
-    ranked = search.batch_top_k(chunks(spark, sf).select("chunk_id", "embeddings"), _asked(spark, sf, 20), 3)
+    ranked = search.batch_top_k(chunks(spark, sf).select("chunk_id", "embeddings"), _asked(spark, sf), 3)
     return ranked.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query("topk_per_strategy", f"""WITH {CHUNKS_SQL}, two AS (SELECT *, CASE vec_id % 2 WHEN 0 THEN 'semantic' ELSE 'baseline' END AS strategy FROM chunks),
-ranked AS (SELECT query_id, strategy, chunk_id, {DISTANCE_SQL} AS distance, row_number() OVER (PARTITION BY query_id, strategy ORDER BY {DISTANCE_SQL}, chunk_id) AS rank FROM two JOIN files ON file_id = id, asked WHERE query_id < 20)
+ranked AS (SELECT query_id, strategy, chunk_id, {DISTANCE_SQL} AS distance, row_number() OVER (PARTITION BY query_id, strategy ORDER BY {DISTANCE_SQL}, chunk_id) AS rank FROM two JOIN files ON file_id = id, asked WHERE query_id % 100 = 0)
 SELECT query_id, strategy, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5""")
 def topk_per_strategy(spark, sf):
     rows = chunks(spark, sf).withColumn("strategy", F.when(F.col("vec_id") % 2 == 0, "semantic").otherwise("baseline"))
     known = rows.join(titles(spark, sf).select(F.col("id").alias("file_id")), "file_id", "left_semi").select("chunk_id", "strategy", "embeddings")
-    ranked = search.batch_top_k(known, _asked(spark, sf, 20), 5, by=["strategy"])
+    ranked = search.batch_top_k(known, _asked(spark, sf), 5, by=["strategy"])
     return ranked.select("query_id", "strategy", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
