@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from lectern.llm import bpe, decontam, jaccard, lines, quality
-from lectern.llm.common import materialize
+from lectern.llm.common import materialize, unused
 
 QUALITY = 0.3
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,8 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     stats = materialize(quality.with_statistics(docs.select("doc_id", "text")).drop("text"), "stats")
     model = quality.train(stats, labels)
-    scored = quality.score(quality.with_statistics(docs, out_col="_stats").withColumnRenamed("_stats", "stats"), model, "_score")
-    return scored.where(F.col("_score") >= QUALITY).select(*docs.columns)
+    (score,) = unused(docs, "score")
+    scored = quality.score_texts(docs, model, "text", score)
+    return scored.where(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     few = gone.count() <= jaccard.BROADCAST_ROWS
     rest = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return rest.dropDuplicates(["doc_id", "text"]) if repeated else rest
+    if not repeated:
+        return rest
+    return rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(rest.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +61,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (doc_id, lang, source, n_tokens, ids, decoded_sha256): the token ids, and the digest of the text they decode to."""
-    ids = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode_documents(ids, RANKS, public_tokenizers.PATTERN)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released, small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -109,8 +109,9 @@ def signatures(df: DataFrame, key_col: str, text_col: str, depth: int, trees: in
                     sizes.append(len(found))
                     sigs.append(minhashes(found, multipliers).tobytes() if len(found) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc", "key", "n", "sig"])
+        _memo.clear()
 
-    return df.select(key_col, text_col).mapInArrow(run, f"doc {kind}, key binary, n long, sig binary")
+    return small_batches(df.select(key_col, text_col)).mapInArrow(released(run), f"doc {kind}, key binary, n long, sig binary")
 
 
 def _blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
@@ -191,7 +192,7 @@ def propose(reps: DataFrame, depth: int, trees: int = TREES, threshold: float =
             yield _edges(edges)
 
     ordered = dealt.select("prefix", "i", "j", "key", "sig").repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    return ordered.mapInArrow(released(run), "a binary, b binary").distinct()
 
 
 def _edges(edges) -> pa.RecordBatch:
@@ -242,7 +243,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["a", "b", "links", "texts"])
 
-    return dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "a binary, b binary, links long, texts long")
+    return dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(released(run), "a binary, b binary, links long, texts long")
 
 
 def linked(sets: list[np.ndarray], block: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -287,8 +288,9 @@ def shingle_sets(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
                 batch = whole.slice(start, 512)
                 sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["doc", "key2", "set"])
+        _memo.clear()
 
-    return df.select(key_col, text_col).mapInArrow(run, f"doc {kind}, key2 binary, set binary")
+    return small_batches(df.select(key_col, text_col)).mapInArrow(released(run), f"doc {kind}, key2 binary, set binary")
 
 
 def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:

@@ -134,14 +134,26 @@ def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     return fit(total[:2], total[2 : 2 + 2 * size].reshape(2, size), total[2 + 2 * size :].reshape(2, size, size), shrink)
 
 
-def score(stats: DataFrame, model: Model | None, out_col: str = "score") -> DataFrame:
+def _scores(x: np.ndarray, model: Model | None) -> pa.Array:
+    return pa.array(model.scores(x) if model else np.full(len(x), 0.5), pa.float64())
+
+
+def score(stats: DataFrame, model: Model | None, out_col: str = "score", stats_col: str = "stats") -> DataFrame:
     """Append ``out_col`` (double, 0 to 1); without a model every score is 0.5."""
 
     def compute(stats: pa.Array) -> list[pa.Array]:
-        x = stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-        return [pa.array(model.scores(x) if model else np.full(len(x), 0.5), pa.float64())]
+        return [_scores(stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)), model)]
+
+    return append_columns(stats, [T.StructField(out_col, T.DoubleType())], compute, [stats_col], rows=4096)
+
+
+def score_texts(df: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """The same from the texts, in one pass through a Python worker."""
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        return [_scores(np.array([statistics(t.as_py() or "") for t in texts]), model)]
 
-    return append_columns(stats, [T.StructField(out_col, T.DoubleType())], compute, ["stats"], rows=4096)
+    return append_columns(df, [T.StructField(out_col, T.DoubleType())], compute, [text_col])
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
