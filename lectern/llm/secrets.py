@@ -20,10 +20,10 @@ from .common import unused
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-RANDOM = r"[A-Za-z0-9+/_-]+"
 KINDS = ["assign", "access", "hex", "random"]
 
 MIN_RANDOM = 20
+RANDOM = r"[A-Za-z0-9+/_-]{%d,}" % MIN_RANDOM
 FALSE_DISCOVERY = 0.05
 BINS = 4096
 BIN_WIDTH = 0.02  # of -ln p
@@ -119,7 +119,7 @@ def log_p(value: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of (kind, start, end, value, log_p) of the runs that the battery tests."""
-    runs = matches(text, "random", RANDOM, RANDOM[:-1] + "{%d}" % MIN_RANDOM, lambda m: (F.char_length(m) >= MIN_RANDOM) & m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
+    runs = matches(text, "random", RANDOM, RANDOM, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
     return F.transform(runs, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), log_p(s["value"]).alias("log_p")))
 
 
