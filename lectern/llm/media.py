@@ -88,6 +88,7 @@ def write_archives(df: DataFrame, folder: str, key_col: str, text_col: str) -> i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
+        from pyarrow import fs as pafs
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -99,7 +100,13 @@ def write_archives(df: DataFrame, folder: str, key_col: str, text_col: str) -> i
             if archive is not None:
                 archive.close()
                 out.close()
-                fs.move(held, f"{root}/part-{part:06d}-{number:05d}.zip")
+                name = f"{root}/part-{part:06d}-{number:05d}.zip"
+                try:
+                    fs.move(held, name)
+                except OSError:  # some stores don't replace; another attempt has written the same bytes
+                    if fs.get_file_info(name).type == pafs.FileType.NotFound:
+                        raise
+                    fs.delete_file(held)
                 out, archive, number = None, None, number + 1
 
         for batch in batches:
