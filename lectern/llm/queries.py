@@ -15,7 +15,8 @@ from .oracles import ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-END_OF_TEXT = 50256
+RANKS_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+END_OF_TEXT = 50256  # free in both vocabularies
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +83,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, END_OF_TEXT)
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS_MULTI, public_tokenizers.PATTERN, END_OF_TEXT)
     return counts.select(F.col("key").alias("doc_id"), "n_tokens")
 
 
