@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, released, small_batches
+from .common import discard, materialize, released, small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -213,10 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
         own = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "low").alias("label"), F.col("label").alias("was"))
         up = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
         new = own.join(up, own["label"] == up["n2"]).select("node", F.least("label", "l2").alias("label"), (F.least("label", "l2") != F.col("was")).alias("moved"))
-        labels = materialize(new, "labels")
+        before, labels = labels, materialize(new, "labels")
+        discard(before)
         if labels.where("moved").isEmpty():
-            return labels.drop("moved")
-        labels = labels.drop("moved")
+            discard(both)
+            return labels.select("node", "label")
 
 
 def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -317,6 +318,7 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     found = wanted.join(sets, wanted["rep"].eqNullSafe(sets["doc"]) & (wanted["key"] == sets["key2"]))
     found = found.dropDuplicates(["key"]).select("grp", "size", "key", "copies", "set")
     checked = materialize(verify(found, threshold), "links")
+    discard(wanted)
     classes = components(checked.where("b IS NOT NULL").select("a", "b"))
     counts = checked.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     whole = reps.select("key", "copies", "rep").join(classes, reps["key"] == classes["node"], "left").join(counts, "key", "left")

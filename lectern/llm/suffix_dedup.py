@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, released, small_batches
+from .common import discard, materialize, released, small_batches
 
 LENGTH = 400
 GRAM = 128
@@ -28,7 +28,7 @@ CAP = 50_000  # suffix groups up to this size are merged in one task; larger one
 STEP = 1 << 20  # windows of a text that are winnowed at a time
 DENSE = 64  # a text with an anchor for fewer bytes than this first drops windows it repeats itself
 BROADCAST_ROWS = 200_000
-BROADCAST_ITEMS = 4_000_000
+BROADCAST_ITEMS = 1_500_000  # of about 45 bytes
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
@@ -278,8 +278,11 @@ def _counted(around: DataFrame) -> DataFrame:
     return windows.join(twice, "window", "left_semi").select("digest", "start", (F.col("start") + LENGTH).alias("end"))
 
 
-def repeated_spans(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", cap: int | None = None) -> DataFrame:
-    """Rows (digest, spans) of the different texts with repeated strings; spans may overlap. See ``remove_repeats``."""
+def repeated_spans(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", cap: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (digest, spans) of the different texts with repeated strings, and the written tables they are read from.
+
+    Spans are sorted and may overlap. See ``remove_repeats``.
+    """
     cap = CAP if cap is None else cap
     found = _winnowed(df, key_col, text_col)
     texts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("rep"), *(F.first(c).alias(c) for c in ("n_bytes", "hashes", "places", "own")))
@@ -290,6 +293,7 @@ def repeated_spans(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     few = shared.count() <= BROADCAST_ROWS
     wanted = places.join(F.broadcast(shared) if few else shared, "hash").groupBy("digest", "rep").agg(F.collect_list(F.struct("hash", "place", "hot")).alias("wanted"))
     wanted = materialize(wanted.withColumnsRenamed({"digest": "want"}), "wanted")
+    written = [texts, shared, wanted]
     rows, items = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
     small = rows <= BROADCAST_ROWS and items <= BROADCAST_ITEMS
     there = df.select(F.col(key_col).alias("doc"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
@@ -301,7 +305,7 @@ def repeated_spans(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("digest", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     own = texts.select("digest", F.explode("own").alias("s")).select("digest", "s.start", "s.end")
     every = spans.unionByName(whole).unionByName(own)
-    return every.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return every.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), written
 
 
 def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", cap: int | None = None) -> DataFrame:
@@ -311,7 +315,9 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     shorter ones nothing. Null texts count as empty. Repeated rows are copies; rows that share a key (or have none) are
     treated each by its own text. An empty table gives an empty one; other columns are not read.
     """
-    spans = materialize(repeated_spans(df, key_col, text_col, cap).withColumnsRenamed({"digest": "d"}), "spans")
+    spans, written = repeated_spans(df, key_col, text_col, cap)
+    spans = materialize(spans.withColumnsRenamed({"digest": "d"}), "spans")
+    discard(*written)
     rows, items = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     small = rows <= BROADCAST_ROWS and items <= BROADCAST_ITEMS
     kind = df.select(key_col).schema[0].dataType.simpleString()
