@@ -16,23 +16,26 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 where a vector is zero."""
-    scale = norm(a) * norm(b)
-    return F.when(scale == 0, 0.0).otherwise(dot(a, b) / F.when(scale == 0, 1.0).otherwise(scale))
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine as a vector database has it; NaN where a vector is zero."""
-    scale = norm(a) * norm(b)
-    return F.when(scale == 0, F.lit(float("nan"))).otherwise(1.0 - dot(a, b) / F.when(scale == 0, 1.0).otherwise(scale))
+    """1 - cosine as a vector database has it; NaN where a vector is zero, null where one is null."""
+    similarity = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(a.isNotNull() & b.isNotNull(), 1.0 - F.coalesce(similarity, F.lit(float("nan"))))
 
 
 def l2_normalize(a: Column) -> Column:
     """The vector at unit length; a zero vector stays."""
-    return _scaled(a, norm(a))
+    return scaled(a, norm(a))
 
 
-def _scaled(a: Column, length: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+def scaled(a: Column, length: Column) -> Column:
+    """The vector divided by a length, 0 counting as 1.
+
+    The length is an argument beside the vector, not inside the lambda, where it would be computed for each element.
+    """
+    return F.zip_with(a, F.array_repeat(length, F.size(a)), lambda x, n: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
 def add(a: Column, b: Column) -> Column:

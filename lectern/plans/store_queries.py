@@ -253,7 +253,9 @@ def _first_hits(spark, sf):
     asked = _questions(spark, sf)
     vectors = E.with_hash_embedding(asked, ["query_id"], "text", 64, "query_vector").select("query_id", "query_vector")
     corpus = E.with_hash_embedding(_corpus(spark, sf), ["chunk_id"], "text", 64)
-    ranked = search.batch_top_k(corpus.select("chunk_id", "strategy", F.lit("").alias("title"), "text", "embeddings"), vectors, 5, by=["strategy"])
+    ranked = search.batch_top_k(corpus.select("chunk_id", "strategy", "embeddings"), vectors, 5, by=["strategy"])
+    # Texts are fetched for the winners only.
+    ranked = ranked.join(_corpus(spark, sf).select("chunk_id", F.lit("").alias("title"), "text"), "chunk_id")
     return evaluate.first_hits(ranked, asked, spark.createDataFrame([(s,) for s in SIZES], "strategy string"))
 
 
