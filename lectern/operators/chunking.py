@@ -25,13 +25,14 @@ def render(path: Column, body: Column, node_type: str) -> Column:
 def sentences_of(blocks_df: DataFrame, key: str = "file_id") -> DataFrame:
     """Rows (key, block, idx, sentence) of the prose blocks."""
     prose = blocks_df.where(F.col("node_type").isin(PROSE))
-    return prose.select(key, "block", F.posexplode(TX.sentences(F.col("text"))).alias("idx", "sentence"))
+    # Outer, as Spark tests the array of an inner explode in a filter of its own and so makes it twice.
+    return prose.select(key, "block", F.posexplode_outer(TX.sentences(F.col("text"))).alias("idx", "sentence")).where("idx IS NOT NULL")
 
 
 def _windows(df: DataFrame, s: Settings) -> DataFrame:
     """Explode column ``body`` into token windows ``sub`` / ``body``."""
     cut = df.withColumn("_w", token_windows(F.col("body"), s.max_tokens, s.overlap_tokens))
-    return cut.select(*[c for c in df.columns if c != "body"], F.posexplode("_w").alias("sub", "body"))
+    return cut.select(*[c for c in df.columns if c != "body"], F.posexplode_outer("_w").alias("sub", "body")).where("sub IS NOT NULL")
 
 
 def merge_undersized(chunks: DataFrame, key: str, order: list[str], min_words: int = 50) -> DataFrame:
@@ -94,4 +95,4 @@ def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, provider: Provider |
 
 def baseline_chunks(docs: DataFrame, s: Settings = DEFAULT, key: str = "file_id", text_col: str = "text") -> DataFrame:
     """Rows (key, chunk_index, text_data): token windows over the whole text, without structure."""
-    return docs.select(key, F.posexplode(token_windows(F.col(text_col), s.max_tokens, s.overlap_tokens)).alias("chunk_index", "text_data"))
+    return docs.select(key, F.posexplode_outer(token_windows(F.col(text_col), s.max_tokens, s.overlap_tokens)).alias("chunk_index", "text_data")).where("chunk_index IS NOT NULL")

@@ -8,7 +8,7 @@ from lectern.functions import embedding as E
 from lectern.functions import text as TX
 from lectern.functions.tokens import token_windows
 from lectern.operators import agent, evaluate, search, store
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, spread, table
 from lectern.plans.text_queries import windows_sql
 from lectern.plans.vector_queries import hash_sql
 
@@ -213,10 +213,10 @@ SIZES = {"baseline": (400, 100), "semantic": (120, 30)}
 
 def _corpus(spark, sf):
     """Chunks (chunk_id, strategy, file_id, title, text) of two strategies, as one table."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     parts = None
     for name, (size, overlap) in SIZES.items():
-        cut = d.select("doc_id", F.posexplode(token_windows(F.col("text"), size, overlap)).alias("k", "text"))
+        cut = d.select("doc_id", F.posexplode_outer(token_windows(F.col("text"), size, overlap)).alias("k", "text")).where("k IS NOT NULL")
         own = cut.select(F.concat_ws("_", F.lit(name), F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("chunk_id"), F.lit(name).alias("strategy"), "doc_id", "text")
         parts = own if parts is None else parts.unionByName(own)
     return parts

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from lectern.functions import text as TX
 from lectern.functions.tokens import count_tokens, token_windows
 from lectern.operators import chunking, structure
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, spread, table
 
 NOISE = "\n1 of 95 \n  \n6/6/26, 23:58 \nhttp://www.gutenberg.org/ebooks/16 \n  kept  "
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _noisy(d):

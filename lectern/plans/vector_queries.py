@@ -8,7 +8,7 @@ from lectern.functions import embedding as E
 from lectern.functions import text as TX
 from lectern.functions import vectors as V
 from lectern.operators import boundary, search
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, spread, table
 
 
 def chunks(spark, sf):
@@ -211,5 +211,5 @@ def hash_sql(source: str, keys: str, text: str = "text", name: str = "hv") -> st
 
 @query("hash_embed", f"WITH {hash_sql('documents', 'doc_id')} SELECT doc_id, b, round(x, 6) AS x FROM hv_unit")
 def hash_embed(spark, sf):
-    made = E.with_hash_embedding(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", 64)
-    return made.select("doc_id", F.posexplode("embeddings").alias("b", "x")).where("x <> 0").select("doc_id", F.col("b").cast("long").alias("b"), F.round("x", 6).alias("x"))
+    made = E.with_hash_embedding(spread(table(spark, sf, "documents").select("doc_id", "text")), ["doc_id"], "text", 64)
+    return made.select("doc_id", F.posexplode_outer("embeddings").alias("b", "x")).where("x <> 0").select("doc_id", F.col("b").cast("long").alias("b"), F.round("x", 6).alias("x"))
