@@ -26,7 +26,7 @@ from .common import open_fs, released, scratch, small_batches
 LINE = 192
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 ATTEMPTS = 4
 SCHEMA = "name string, key long, n_bytes long, archive string, offset long, media binary, payload binary"
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
@@ -162,7 +162,7 @@ class ArchiveReader(DataSourceReader):
                 _, key, n, _ = member.filename.split(".")
                 rows.append((member.filename, None if key == "null" else int(key), int(n), part.archive, member.header_offset, media, payload))
                 held += len(media) + len(payload)
-                if held >= BATCH_BYTES or len(rows) >= 1024:
+                if held >= BATCH_BYTES or len(rows) >= 256:
                     yield _batch(rows)
                     rows, held = [], 0
             if rows:
