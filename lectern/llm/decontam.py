@@ -1,12 +1,14 @@
-"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
+"""Benchmark decontamination by runs of equal words, in DataFrame functions only.
 
-A mask is a word window some of whose places are ignored. The hashes of all masked windows of the benchmark items meet
-those of the training texts; around each hit the item and the text are laid side by side, and the pair counts if enough
-of the item's words near the hit stand at the same places. Substituted words thus neither hide a hit nor break it off.
+Where at least MIN_SHARE of a window's words stand at the same places of a text, the others cut the equal ones into so few
+pieces that one of them has ``run_words`` words or more. The hashes of all such runs of the benchmark items meet those of
+the training texts; around each hit the item and the text are laid side by side, and the pair counts if enough of the
+item's words near the hit stand at the same places. Spaced masks, which ignore some places, only count a pair's hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 # Each mask looks at the words marked 1; its length is the length of the window. All have KEY_WORDS places in common.
+# The masks, laid at every STRIDE-th place and at the last one, define n_hits; no overlap is sought by them.
 MASKS = ("110110010111", "110111100101", "110110101101")
-KEY_WORDS = 4
 STRIDE = 2
+KEY_WORDS = 4
 WINDOW = 24
 MIN_SHARE = 0.8
 SEGMENT = 2048
@@ -41,11 +44,19 @@ def _hash(h: str, at: Column, places) -> Column:
     return F.xxhash64(*[F.get(h, at + i) for i in places])
 
 
-def _seeds(df: DataFrame, h: str, at: Column, masks: list[str]) -> DataFrame:
-    """One row (``_mask``, ``seed``) for each mask laid at place ``at`` of ``h``; null where it reaches beyond the end."""
-    ones = [[i for i, bit in enumerate(m) if bit == "1"] for m in masks]
-    each = [F.struct(F.lit(k).alias("_mask"), F.when(F.size(h) >= at + len(m), _hash(h, at, ones[k])).alias("seed")) for k, m in enumerate(masks)]
-    return df.withColumn("_s", F.explode(F.array(*each))).select(*df.columns, "_s.*").where("seed IS NOT NULL")
+def need_words(n: int, window: int, min_share: float) -> int:
+    """The least number of equal words in a window of an item of ``n`` words."""
+    size = min(n, window)
+    return next((m for m in range(size) if m / size >= min_share), size)
+
+
+def run_words(n: int, window: int, min_share: float) -> int:
+    """The words in a row, KEY_WORDS at most, that every window with enough equal words has.
+
+    ``c`` changed words cut the equal ones into ``c + 1`` pieces, the longest of which has at least their mean length.
+    """
+    need = need_words(n, window, min_share)
+    return max(1, min(KEY_WORDS, -(-need // (min(n, window) - need + 1))))
 
 
 def _segments(df: DataFrame, h: str, window: int, span: int) -> DataFrame:
@@ -64,13 +75,13 @@ def _segments(df: DataFrame, h: str, window: int, span: int) -> DataFrame:
 
 
 def _near_keys(texts: DataFrame, keys: DataFrame, places: tuple[int, ...], window: int, span: int, small: bool) -> DataFrame:
-    """Rows (_doc, at, first, around): the words about each place of a text whose words at ``places`` make one of ``keys``.
+    """Rows (_doc, _row, at, first, around): the words about each place of a text whose words at ``places`` make one of ``keys``.
 
     This is the only step that touches every word, so it is one generated loop over the words with one look-up each.
     """
     rows = _segments(texts, "_h", window, span)
     last = F.least(F.col("skip") + SEGMENT, F.size("part") - max(places)) - 1
-    every = rows.where(last >= F.col("skip")).select("_doc", "low", "part", F.explode(F.sequence("skip", last)).alias("i"))
+    every = rows.where(last >= F.col("skip")).select("_doc", "_row", "low", "part", F.explode(F.sequence("skip", last)).alias("i"))
     keyed = every.withColumn("key", _hash("part", F.col("i"), places))
     if small:
         met = keyed.join(F.broadcast(keys), "key", "left_semi")
@@ -80,7 +91,7 @@ def _near_keys(texts: DataFrame, keys: DataFrame, places: tuple[int, ...], windo
     first = F.greatest(F.lit(0), F.col("i") - window)
     # The identity keeps this projection out of the generated loop above.
     around = F.transform(F.slice("part", first + 1, F.lit(2 * window + span)), lambda x: x)
-    return met.select("_doc", (F.col("low") + F.col("i")).alias("at"), (F.col("low") + first).alias("first"), around.alias("around"))
+    return met.select("_doc", "_row", (F.col("low") + F.col("i")).alias("at"), (F.col("low") + first).alias("first"), around.alias("around"))
 
 
 def find_overlaps(
@@ -96,55 +107,102 @@ def find_overlaps(
 ) -> DataFrame:
     """Rows (doc key, item key, n_hits, overlap_words, overlap_share, doc_word) for each pair with a verified overlap.
 
-    An overlap is the item's ``window`` words around a hit (all of a shorter item) of which at least ``min_share`` stand
-    in the text at the same relative places; the best one of a pair is reported, ties by the first place. An item shorter than the masks is sought
-    by one gapless mask of its own length. Null and empty texts and items have no words and no overlaps; rows that share
-    a key are one document; repeated items are reported under each key. Other columns are not read.
-
-    The words of a text are looked up once each, by the hash of four places that all masks share; only where those are
-    known are the masks laid. Texts are not shuffled while the seeds number at most BROADCAST_SEEDS (they are counted
-    first and broadcast); beyond that, places and keys meet in a shuffled join and their texts are joined again.
+    An overlap is ``window`` words of an item around a hit (all of a shorter item) of which at least ``min_share`` stand
+    in the text at the same relative places; the best one of a pair is reported, ties by counted hits, then by the first
+    place. Substituted words are allowed, inserted or left out ones shift the places behind them. ``n_hits`` counts the
+    masked windows, laid at every STRIDE-th place of the item and at its last one, that meet the text and are verified in
+    the ``window`` words around them (for items shorter than the masks, exact copies); it is 0 where no masked window meets
+    an overlap. Null and empty texts and items have no words and no overlaps; rows that share a key are one document; repeated items are
+    reported under each key. Other columns are not read.
+
+    The words of a text are looked up once for each length of run that the items need (``run_words``). Texts are not
+    shuffled while the seeds number at most BROADCAST_SEEDS (they are counted first and broadcast); beyond that, places
+    and keys meet in a shuffled join and their texts are joined again.
     """
-    span = max(map(len, masks))
     items = benchmark.select(F.col(item_key).alias("_item"), word_hashes(F.col(item_text)).alias("_words")).where(F.size("_words") > 0)
-    items = materialize(items.withColumn("_n", F.size("_words")), "items")
-    texts = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("_h"))
-    short = [n for (n,) in items.select("_n").distinct().where(F.col("_n") < span).collect()]
-    # Masks that share a key's places go together; the shortest items have keys of their own.
-    passes = [(shared_places(masks), F.col("_n") >= span, list(masks))]
-    passes += [(tuple(range(min(n, KEY_WORDS))), F.col("_n") == n, ["1" * n]) for n in sorted(short)]
-    hits = [_hits(items.where(which), texts, places, laid, window, span) for places, which, laid in passes]
-    scored = reduce(DataFrame.unionByName, hits).where(F.col("overlap_share") >= min_share)
-    best = F.max(F.struct("overlap_share", "overlap_words", (-F.greatest(F.lit(0), F.col("_from"))).alias("at")))
-    pairs = scored.groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("n_hits"), best.alias("b"))
+    items = materialize(items.withColumn("_n", F.size("_words")).withColumn("_i", F.monotonically_increasing_id()), "items")
+    texts = docs.select(F.col(doc_key).alias("_doc"), F.monotonically_increasing_id().alias("_row"), word_hashes(F.col(doc_text)).alias("_h"))
+    runs: dict[int, list[int]] = {}
+    for (n,) in items.select("_n").distinct().collect():
+        runs.setdefault(run_words(n, window, min_share), []).append(n)
+    # Without items there is one pass over nothing.
+    hits = [_hits(items.where(F.col("_n").isin(ns)), texts, k, masks, window, min_share) for k, ns in sorted(runs.items()) or [(KEY_WORDS, [0])]]
+    scored = reduce(DataFrame.unionByName, hits)
+    # The hits of one text and item at one distance have marks in common.
+    placed = scored.groupBy("_doc", "_row", "_item", "_i", "_shift").agg(F.max("_best").alias("_best"), F.size(F.array_distinct(F.flatten(F.collect_list("_marks")))).alias("_hits"))
+    pairs = placed.groupBy("_doc", "_item").agg(F.sum("_hits").alias("n_hits"), F.max("_best").alias("b"))
     return pairs.select(
         F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_hits",
         F.col("b.overlap_words").cast("long").alias("overlap_words"), F.col("b.overlap_share").alias("overlap_share"), (-F.col("b.at")).cast("long").alias("doc_word"),
     )
 
 
-def _hits(items: DataFrame, texts: DataFrame, key: tuple[int, ...], masks: list[str], window: int, span: int) -> DataFrame:
-    """Rows (_doc, _item, _from, overlap_words, overlap_share) for each meeting of a masked window."""
-    room = F.col("_n") - min(map(len, masks))
-    parts = _segments(items.select("_item", "_n", F.col("_words")), "_words", window, span)
-    last = F.least(F.col("skip") + SEGMENT - 1, room - F.col("low"))
+def _hits(items: DataFrame, texts: DataFrame, run: int, masks: tuple[str, ...], window: int, min_share: float) -> DataFrame:
+    """Rows (_doc, _row, _item, _i, _shift, _best, _marks) for each meeting of ``run`` words in a row near which an overlap is."""
+    span, places = max(map(len, masks)), tuple(range(run))
+    size = F.least(F.col("_n"), F.lit(window))
+    parts = _segments(items, "_words", window, span)
+    last = F.least(F.col("skip") + SEGMENT - 1, F.col("_n") - run - F.col("low"))
     laid = parts.where(last >= F.col("skip")).withColumn("i", F.explode(F.sequence("skip", last))).withColumn("_at", F.col("low") + F.col("i"))
-    laid = laid.where((F.col("_at") % STRIDE == 0) | (F.col("_at") == room))
-    begin = F.greatest(F.lit(0), F.least(F.col("_at") - (window - span) // 2, F.col("_n") - window))
-    # A seed brings the stretch of its item that is laid beside the text.
-    laid = laid.withColumn("_begin", begin).withColumn("_beside", F.slice("part", F.col("_begin") - F.col("low") + 1, F.least(F.col("_n"), F.lit(window)))).withColumn("key", _hash("part", F.col("i"), key))
-    seeds = materialize(_seeds(laid, "part", F.col("i"), masks).select("_item", "_at", "_begin", "_beside", "key", "_mask", "seed"), "seeds")
+    # A seed brings the stretch of its item that is laid beside the text: all windows that contain the run.
+    laid = laid.withColumn("_begin", F.greatest(F.lit(0), F.col("_at") + run - size))
+    beside = F.slice("part", F.col("_begin") - F.col("low") + 1, F.least(F.col("_n"), F.col("_at") + size) - F.col("_begin"))
+    laid = laid.withColumn("_beside", beside).withColumn("key", _hash("part", F.col("i"), places))
+    seeds = materialize(laid.select("_item", "_i", "_n", "_at", "_begin", "_beside", "key"), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
-    near = _near_keys(texts, seeds.select("key").distinct(), key, window, span, small)
-    lookup = seeds.drop("key")
-    met = _seeds(near, "around", F.col("at") - F.col("first"), masks).join(F.broadcast(lookup) if small else lookup, ["_mask", "seed"])
-    placed = met.withColumn("_from", F.col("_begin") + F.col("at") - F.col("_at")).withColumn("_cut", F.greatest(F.lit(0), -F.col("_from")))
-    part = F.greatest(F.lit(0), F.size("_beside") - F.col("_cut"))
-    item = F.slice("_beside", F.col("_cut") + 1, part)
-    text = F.slice("around", F.col("_from") + F.col("_cut") - F.col("first") + 1, part)
-    same = F.aggregate(F.zip_with(item, text, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    scored = placed.withColumn("overlap_words", same)
-    return scored.select("_doc", "_item", "_from", "overlap_words", (F.col("overlap_words") / F.size("_beside")).alias("overlap_share"))
+    near = _near_keys(texts, seeds.select("key").distinct(), places, window, span, small)
+    near = near.withColumn("key", _hash("around", F.col("at") - F.col("first"), places))
+    met = near.join(F.broadcast(seeds) if small else seeds, "key").withColumn("_shift", F.col("at") - F.col("_at"))
+    behind = F.col("_begin") + F.col("_shift") - F.col("first")
+    same = F.transform("_beside", lambda a, j: F.when(a == F.get("around", behind + j), 1).otherwise(0))
+    met = met.select("_doc", "_row", "_item", "_i", "_n", "_at", "_begin", "_shift", same.alias("_same"))
+
+    def equal(begin: Column) -> Column:
+        """The number of equal words in the window that begins at place ``begin`` of the item."""
+        return F.aggregate(F.slice("_same", begin - F.col("_begin") + 1, size), F.lit(0), lambda s, x: s + x)
+
+    # Where the word before a run is equal too, another run begins there and has all windows but the one behind it.
+    again = F.coalesce(F.get("_same", F.col("_at") - F.col("_begin") - 1), F.lit(0)) == 1
+    met = met.withColumn("_low", F.when(again, F.col("_at")).otherwise(F.col("_begin"))).withColumn("_high", F.least(F.col("_at"), F.col("_n") - size))
+    each = F.transform(F.sequence("_low", "_high"), lambda b: _found(equal(b), size, 0, b))
+    enough = F.aggregate("_same", F.lit(0), lambda s, x: s + x) / size >= min_share
+    scored = met.where((F.col("_low") <= F.col("_high")) & enough).withColumn("_best", F.array_max(each)).where(F.col("_best.overlap_share") >= min_share)
+    scored = scored.withColumn("_marks", _marks(masks, window, span, size, min_share, equal))
+    best = F.greatest("_best", F.array_max(F.transform("_marks", lambda m: m["found"])))
+    return scored.select("_doc", "_row", "_item", "_i", "_shift", best.alias("_best"), "_marks")
+
+
+def _found(words: Column, size: Column, counted: int, begin: Column) -> Column:
+    """What is reported of the window that begins at place ``begin`` of the item; the greatest is the best."""
+    return F.struct((words / size).alias("overlap_share"), words.alias("overlap_words"), F.lit(counted).alias("counted"), (-F.greatest(F.lit(0), begin + F.col("_shift"))).alias("at"))
+
+
+def _marks(masks: tuple[str, ...], window: int, span: int, size: Column, min_share: float, equal: Callable[[Column], Column]) -> Column:
+    """A struct (mark, found) for each masked window whose words are equal and around which enough are, in a window from ``_low`` to ``_high``."""
+    least = min(map(len, masks))
+    half = (window - span) // 2
+    first = F.when(F.col("_low") == 0, 0).otherwise(F.col("_low") + half)
+    places = F.sequence(first, F.greatest(first, F.when(F.col("_high") == F.col("_n") - size, F.col("_n") - least).otherwise(F.col("_high") + half)))
+
+    def around(at: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(at - half, F.col("_n") - window))
+
+    def met(mask: str) -> Callable[[Column], Column]:
+        def holds(at: Column) -> Column:
+            begin = around(at)
+            inside = (begin >= F.col("_low")) & (begin <= F.col("_high")) & (at + len(mask) <= F.col("_n"))
+            laid = (at % STRIDE == 0) | (at == F.col("_n") - least)
+            ones = [F.coalesce(F.get("_same", at - F.col("_begin") + i), F.lit(0)) == 1 for i, bit in enumerate(mask) if bit == "1"]
+            return reduce(Column.__and__, ones, inside & laid) & (equal(begin) / size >= min_share)
+
+        return holds
+
+    def mark(k: int) -> Callable[[Column], Column]:
+        return lambda at: F.struct((at * len(masks) + k).alias("mark"), _found(equal(around(at)), size, 1, around(at)).alias("found"))
+
+    every = F.concat(*[F.transform(F.filter(places, met(m)), mark(k)) for k, m in enumerate(masks)])
+    whole = F.filter(F.array(mark(0)(F.lit(0))), lambda m: m["found"]["overlap_words"] == F.col("_n"))
+    return F.when(F.col("_n") >= span, every).otherwise(whole)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", **options) -> DataFrame:

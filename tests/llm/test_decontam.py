@@ -57,3 +57,34 @@ def test_messy(spark, messy):
     assert {(1, 4), (1, 1), (4, 1), (5, 5), (None, None), (8, 8)} <= found and not any(2 in p or 3 in p or 6 in p for p in found)
     assert decontam.find_overlaps(messy.limit(0), items).count() == 0 and decontam.find_overlaps(messy, items.limit(0)).count() == 0
     assert decontam.drop_contaminated(messy, items.limit(0)).count() == messy.count()
+
+
+def brute_force(docs, items, window=24, min_share=0.8):
+    """(doc, item) -> the most equal words of any window laid at any place."""
+    out = {}
+    for d, text in docs:
+        for k, item in items:
+            h, ws = text.split(), item.split()
+            size = min(window, len(ws))
+            for shift in range(-len(ws), len(h)):
+                same = [0 <= i + shift < len(h) and h[i + shift] == w for i, w in enumerate(ws)]
+                best = max(sum(same[b : b + size]) for b in range(len(ws) - size + 1))
+                if best / size >= min_share:
+                    out[d, k] = max(best, out.get((d, k), 0))
+    return out
+
+
+def found_words(spark, docs, items):
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.overlap_words for r in decontam.find_overlaps(df, bench).collect()}
+
+
+def changed_at(words, places):
+    return " ".join("sub" if i in places else x for i, x in enumerate(words))
+
+
+def test_every_sixth_word_replaced(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (24, 36, 48, 100)]
+    docs = [(10 * n + o, "pre " * o + changed_at(t.split(), range(o, n, 6))) for n, t in items for o in range(6)]
+    got = found_words(spark, docs, items)
+    assert got == brute_force(docs, items) and len(got) == 24
