@@ -88,3 +88,11 @@ def test_every_sixth_word_replaced(spark):
     docs = [(10 * n + o, "pre " * o + changed_at(t.split(), range(o, n, 6))) for n, t in items for o in range(6)]
     got = found_words(spark, docs, items)
     assert got == brute_force(docs, items) and len(got) == 24
+
+
+def test_a_full_fifth_replaced_at_random(spark):
+    rng = random.Random(7)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (15, 18, 20, 24, 36)]
+    docs = [(1000 * n + i, "pre " * (i % 3) + changed_at(t.split(), rng.sample(range(n), n // 5)) + " post") for n, t in items for i in range(60)]
+    got = found_words(spark, docs, items)
+    assert got == brute_force(docs, items) and len(got) >= 4 * 60
