@@ -96,3 +96,15 @@ def test_a_full_fifth_replaced_at_random(spark):
     docs = [(1000 * n + i, "pre " * (i % 3) + changed_at(t.split(), rng.sample(range(n), n // 5)) + " post") for n, t in items for i in range(60)]
     got = found_words(spark, docs, items)
     assert got == brute_force(docs, items) and len(got) >= 4 * 60
+
+
+def test_passages_of_longer_items(spark):
+    rng = random.Random(11)
+    item = [f"i{k}" for k in range(48)]
+    docs = []
+    for n in range(120):
+        b = rng.randint(0, 24)
+        docs.append((n, "pre " * (n % 4) + changed_at(item[b : b + 24], rng.sample(range(24), n % 5)) + " post" * (n % 7)))
+    items = [(1, " ".join(item))]
+    got = found_words(spark, docs, items)
+    assert got == brute_force(docs, items) and len(got) == 120
