@@ -108,3 +108,10 @@ def test_passages_of_longer_items(spark):
     items = [(1, " ".join(item))]
     got = found_words(spark, docs, items)
     assert got == brute_force(docs, items) and len(got) == 120
+
+
+def test_one_word_replaced_in_short_items(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(4, 13)]
+    docs = [(100 * n + k, "pre " + changed_at(t.split(), [k]) + " post") for n, t in items for k in range(n)]
+    got = found_words(spark, docs, items)
+    assert got == brute_force(docs, items) and {k for _, k in got} == set(range(5, 13))
