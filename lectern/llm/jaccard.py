@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact Jaccard similarity decides.
+"""N-gram Jaccard join: fixed MinHash bands propose, exact Jaccard similarity decides.
 
 1. Texts become sets of 64-bit hashes of five-word shingles. Texts with equal sets are one class; only class
    representatives go on, so copies are never paired.
-2. A forest has TREES tries. A representative's label in a trie is a run of 16-bit minhashes; labels are matched on a
-   prefix that starts at full depth and is shortened until the chance that a pair at the threshold shares a prefix in some
-   trie reaches the target recall. Representatives are sorted by trie and prefix; those under one prefix are compared by all
-   their minhashes, and only a star of links per prefix leaves the task.
+2. There are TREES bands of equal depth. A representative's label in a band is a run of 16-bit minhashes, as long as the
+   chance that a pair at the threshold shares some label still reaches the target recall; this depth follows from the
+   constants, before data are read. It is no LSH forest: labels are hashed whole, no prefix is sorted or shortened on the
+   data. Those under one label ("prefix" below) are compared by all their minhashes, and only a star of links leaves the task.
 3. The stars' connected components are groups. Within a group all pairs are verified exactly, on the shingle sets, in blocks
    of bounded size; a task gives each representative's number of verified links and again a star of them. Components
    of the verified stars are the near-duplicate classes.
