@@ -1,6 +1,7 @@
 """Secret scan in DataFrame functions only: three fixed patterns and a battery of randomness tests.
 
-Candidates of the battery are long runs of base-64 letters. Each gets the smallest alphabet that holds it (its inferred
+Candidates of the battery are long runs of base-64 letters with a letter and a digit among them; runs without either, such
+as joined words but also some random keys, are neither tested nor counted. Each gets the smallest alphabet that holds it (its inferred
 encoding) and three tests of the hypothesis that its symbols are drawn uniformly and independently: chi-squared for the
 alphabet, runs above and below the alphabet's middle, and lag-one serial correlation. The smallest of the three p-values, times three, is divided
 by a weight that grows with the length (short runs have little power) and the Benjamini-Hochberg procedure over all
