@@ -1,7 +1,9 @@
 import json
 import math
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,23 @@ def test_lsh_finds_most(spark, vectors):
     assert found / total > 0.8
 
 
+def test_lsh_defaults_find_nine_of_ten(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    table = spark.read.parquet(path).select("vec_id", "embedding")
+    ids, x = zip(*table.orderBy("vec_id").collect(), strict=True)
+    x = np.array(x, float)
+    index, _ = search.lsh_index(table, x.shape[1], vector="embedding")
+    rows = index.orderBy("vec_id", "table").select("bucket").toPandas()["bucket"].to_numpy().reshape(len(ids), -1)
+    met = np.zeros((len(ids), len(ids)), bool)
+    for code in rows.T:
+        met |= code[:, None] == code[None]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argsort(-(unit @ unit.T), axis=1)[:, 1:10]  # the vector itself is left out
+    assert np.take_along_axis(met, near, 1).mean() >= 0.9
+
+
 def test_lookups(spark, catalog, vectors):
     many = spark.createDataFrame([("id1", "Alpha Beta"), ("id2", "beta"), ("beta", "zzz"), ("id3", "a_c"), ("id4", "abc")], "id string, title string")
     assert store.resolve(many, "beta").first().id == "beta" and store.resolve(many, "BETA").first().id == "id2"
