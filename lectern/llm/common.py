@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 BATCH_ROWS = 512
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,16 +53,23 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's limit on the rows of an Arrow batch was lowered to ARROW_ROWS.
+    """``df``, after the session's limits on an Arrow batch were lowered to ARROW_ROWS rows and ARROW_BYTES bytes.
 
     Texts can be long; buffers on both sides of a Python worker are as large as a batch.
     """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < _bytes(conf.get(f"spark.sql.execution.arrow.{name}")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
     return df
 
 
+def _bytes(value: str) -> int:
+    """A setting's number; sizes may have a unit."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", value.strip().lower())
+    return int(found[1]) << 10 * " kmgt".index(found[2] or " ") if found else -1
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, after which a Python worker, which outlives the task, gives free memory back to the system."""
 

@@ -42,9 +42,10 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize(("block", "broadcast"), [(512, 200_000), (7, -1)])
-def test_equals_all_pairs(spark, monkeypatch, block, broadcast):
+@pytest.mark.parametrize(("block", "size", "broadcast"), [(512, 4 << 20, 200_000), (7, 4 << 20, -1), (512, 3000, 200_000)])
+def test_equals_all_pairs(spark, monkeypatch, block, size, broadcast):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
     rows = corpus(220, 4) + [(1000, "short one"), (1001, "Short  ONE"), (1002, "other"), (1003, ""), (1004, None), (3, "w1 w2")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -59,14 +60,51 @@ def test_messy(spark, messy, texts):
     assert jaccard.near_duplicates(messy.limit(0)).count() == 0
 
 
-def test_prefix_is_shortened_until_the_recall():
-    assert jaccard.depth_for(0.99999, 0.8, 24, 8) == 4 and jaccard.depth_for(0.5, 0.8, 24, 8) == 8 and jaccard.depth_for(0.999999999, 0.3, 4, 8) == 1
+def test_shortest_prefix_meets_the_recall():
+    assert jaccard.shortest_prefix(0.99999, 0.8, 24, 8) == 4 and jaccard.shortest_prefix(0.5, 0.8, 24, 8) == 8 and jaccard.shortest_prefix(0.999999999, 0.3, 4, 8) == 1
     for d in range(1, 9):
         if 1 - (1 - 0.8**d) ** 24 >= 0.99999:
-            assert jaccard.depth_for(0.99999, 0.8, 24, d) == d
+            assert jaccard.shortest_prefix(0.99999, 0.8, 24, d) == d
 
 
-def test_linked_equals_sets():
+def closure(m, pairs):
+    root = list(range(m))
+    for a, b in pairs:
+        root = [root[a] if r == root[b] else r for r in root]
+    return {(i, j) for i in range(m) for j in range(m) if root[i] == root[j]}
+
+
+def test_walk_links_all_that_share_a_prefix_and_enough_minhashes():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        m, shortest = int(rng.integers(1, 30)), int(rng.integers(1, 4))
+        sigs = rng.integers(0, 3, (m, 12)).astype("<u2")
+        sigs = sigs[np.lexsort(sigs[:, 4::-1].T)]
+        labels = np.ascontiguousarray(sigs[:, :5])
+        root = jaccard.walk(labels, sigs, shortest, 0.5)
+        pairs = [(i, j) for i in range(m) for j in range(i + 1, m) if (labels[i, :shortest] == labels[j, :shortest]).all() and (sigs[i] == sigs[j]).mean() >= 0.5]
+        assert {(i, j) for i in range(m) for j in range(m) if root[i] == root[j]} == closure(m, pairs)
+
+
+def test_walk_compares_no_more_once_a_branch_is_linked():
+    class Counted(np.ndarray):
+        rows = 0
+
+        def __getitem__(self, at):
+            out = np.asarray(super().__getitem__(at))
+            Counted.rows += len(out) if out.ndim == 2 else 0
+            return out
+
+    sigs = np.zeros((1000, 16), "<u2")
+    root = jaccard.walk(np.zeros((1000, 4), "<u2"), sigs.view(Counted), 1, 0.5)
+    assert (root == root[0]).all() and Counted.rows < 2000
+
+
+@pytest.mark.parametrize(("sparse", "columns"), [(16, 2048), (5, 3), (100, 7)])
+def test_linked_equals_sets(monkeypatch, sparse, columns):
+    monkeypatch.setattr(jaccard, "SPARSE", sparse)
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
     block = np.array([i % 2 for i in range(60)])
