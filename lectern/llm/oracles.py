@@ -52,9 +52,11 @@ fresh AS (SELECT r, a, CASE WHEN a - lag(a) OVER (PARTITION BY r ORDER BY a) <=
 runs AS (SELECT r, a, sum(f) OVER (PARTITION BY r ORDER BY a) AS g FROM fresh),
 spans AS (SELECT r, g, min(a) AS b, max(a) + {n} AS e FROM runs GROUP BY r, g),
 gaps AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS b, b AS e FROM spans UNION ALL SELECT r, max(e), NULL FROM spans GROUP BY r),
-kept AS (SELECT r, string_agg(CASE WHEN gaps.e IS NULL THEN substr(x, 2 * b + 1) ELSE substr(x, 2 * b + 1, 2 * (gaps.e - b)) END, '' ORDER BY b) AS k FROM gaps JOIN raws USING (r) GROUP BY r),
+pieces AS (SELECT r, b, CASE WHEN gaps.e IS NULL THEN substr(x, 2 * b + 1) ELSE substr(x, 2 * b + 1, 2 * (gaps.e - b)) END AS p FROM gaps JOIN raws USING (r)),
+whole AS (SELECT r, b, p, regexp_replace(regexp_replace(p, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F])?([89AB][0-9A-F])?)$', '') AS w FROM pieces),
+kept AS (SELECT r, string_agg(p, '' ORDER BY b) AS k, string_agg(w, '' ORDER BY b) AS t FROM whole GROUP BY r),
 sums AS (SELECT r, sum(e - b) AS removed, count(*) AS n_spans FROM spans GROUP BY r)
-SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256 FROM raws LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)"""
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256, decode(unhex(coalesce(t, x))) AS kept_text FROM raws LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)"""
 
 
 ORACLE_SQL = {

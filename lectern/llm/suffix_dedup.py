@@ -5,10 +5,12 @@ are ordered: texts are winnowed (the least hash of the GRAM-byte strings in each
 equal LENGTH-byte strings have an anchor with the same hash at the same place. Anchors whose hash occurs once are
 dropped; the others' surroundings, of all shards, meet by hash.
 
-There, the shards' suffixes are interleaved and the interleaving is refined: a step goes one byte to the left, the
-transform's symbol of every suffix, and deals the suffixes stably by it, as the merge of Holt and McMillan does. Order by longer
-and longer prefixes follows without comparing or sorting suffixes again. The common prefix of two that become neighbours is one more than
-the least one between their former places; runs of suffixes whose common prefixes reach LENGTH are the repeated intervals.
+There, the surroundings come in shards. A shard's transform is built once, as its surroundings arrive: for each place the
+symbols before the shard's suffixes, in the order of these suffixes. The transforms are then merged as by Holt and McMillan: the
+interleaving tells which shard each suffix of the merged order is of, a step takes the next symbol of that shard's transform
+for each, and deals the interleaving stably by the symbols. Order by longer and longer prefixes follows without comparing or
+sorting suffixes of the whole again. The common prefix of two that become neighbours is one more than the least one between
+their former places; runs of suffixes whose common prefixes reach LENGTH are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from .common import discard, materialize, released, small_batches
 
 LENGTH = 400
 GRAM = 128
+SHARD = 8192  # surroundings that a shard's transform is built of
 CAP = 50_000  # suffix groups up to this size are merged in one task; larger ones are counted window by window
 STEP = 1 << 20  # windows of a text that are winnowed at a time
 DENSE = 64  # a text with an anchor for fewer bytes than this first drops windows it repeats itself
 BROADCAST_ROWS = 200_000
-BROADCAST_ITEMS = 1_500_000  # of about 45 bytes
+BROADCAST_ITEMS = 1_500_000  # of about 45 bytes: 70 MB at most
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
@@ -111,31 +114,57 @@ def cover(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-def merge(groups: np.ndarray, left: np.ndarray, texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) start, relative to its anchor, of a repeated string of each surroundings; first > last: none.
+def _dealt(groups: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The places in stable order of (group, symbol), by two counting sorts; ``groups`` are numbers from 0."""
+    by_symbol = np.argsort(symbols, kind="stable")
+    narrow = groups.astype(np.uint16) if len(groups) and groups.max() < 1 << 16 else groups
+    return by_symbol[np.argsort(narrow[by_symbol], kind="stable")]
+
+
+def transform(groups: np.ndarray, left: np.ndarray, texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """A shard's transform, a row for each place of the surroundings: the symbols there (byte plus one, 0: outside the text).
 
-    ``groups``: sorted group numbers, ``left``: bytes before the anchor. One interleaving holds the suffixes of all groups, each in its part.
+    ``groups``: sorted group numbers, ``left``: bytes before the anchor. A row's symbols stand in the order of the suffixes that
+    begin behind the place, those of each group in its part.
     """
     m, before = len(texts), length - gram
     wide = before + length
-    table = np.zeros((m, wide), np.uint8)
+    table = np.zeros((m, wide), np.uint16)
     size = np.array([len(t) for t in texts])
-    begin = before - left
     flat = np.frombuffer(b"".join(texts), np.uint8)
     row = np.repeat(np.arange(m), size)
-    table[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + begin[row]] = flat
-    table = np.ascontiguousarray(table.T)
-    end = begin + size
+    table[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + (before - left)[row]] = flat.astype(np.uint16) + 1
+    out = np.ascontiguousarray(table.T)
+    groups = groups - groups[0] if m else groups
+    order = np.arange(m)
+    for at in range(wide - 1, -1, -1):
+        out[at] = out[at][order]
+        order = order[_dealt(groups, out[at])]
+    return out
+
+
+def merge(groups: np.ndarray, shards: list[np.ndarray], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start, relative to its anchor, of a repeated string of each surroundings; first > last: none.
+
+    ``groups``: sorted group numbers of all shards' surroundings, which follow each other. One interleaving has the suffixes of all
+    groups, each in its part.
+    """
+    m, before = len(groups), length - gram
+    wide = before + length
+    symbols = np.concatenate(shards, 1)
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.shape[1] for s in shards])
     inner = np.r_[False, groups[1:] == groups[:-1]]
     order, common = np.arange(m), np.zeros(m + 1, np.int32)
     first, last = np.full(m, wide, np.int32), np.full(m, -wide, np.int32)
+    symbol = np.empty(m, np.uint16)
     for at in range(wide - 1, -1, -1):
-        symbol = np.where((begin <= at) & (at < end), table[at].astype(np.int16) + 1, 0)[order]
+        # A shard's transform has its symbols in the order in which the interleaving takes them.
+        symbol[np.argsort(shard[order], kind="stable")] = symbols[at]
         mixed = inner[1:] & (symbol[1:] != symbol[:-1])
         grown = np.where(inner & (symbol > 0), common[:m] + 1, 0)
         if mixed.any():
             part = np.flatnonzero(np.isin(groups, np.unique(groups[1:][mixed])))
-            came = part[np.lexsort((symbol[part], groups[part]))]
+            came = part[_dealt(np.cumsum(np.r_[False, groups[part][1:] != groups[part][:-1]]), symbol[part])]
             now = np.zeros(len(part), np.int32)
             alike = inner[part][1:] & (symbol[came][1:] == symbol[came][:-1]) & (symbol[came][1:] > 0)
             k = np.flatnonzero(alike) + 1
@@ -241,14 +270,11 @@ def _merged(around: DataFrame) -> DataFrame:
         rows = pa.Table.from_batches(parts)
         if not rows.num_rows:
             return
-        hashes, places = rows.column("hash").to_numpy(), rows.column("place").to_numpy()
-        digests = rows.column("digest").to_pylist()
-        # A repeated row of the table gives a place twice; it counts once.
-        new = np.array([True] + [hashes[i] != hashes[i - 1] or places[i] != places[i - 1] or digests[i] != digests[i - 1] for i in range(1, len(hashes))])
-        rows = rows.filter(pa.array(new))
         hashes, places = rows.column("hash").to_numpy(), rows.column("place").to_numpy().astype(np.int64)
         groups = np.cumsum(np.r_[False, hashes[1:] != hashes[:-1]])
-        first, last = merge(groups, rows.column("left").to_numpy(), rows.column("around").to_pylist())
+        left, texts = rows.column("left").to_numpy(), rows.column("around")
+        shards = [transform(groups[a : a + SHARD], left[a : a + SHARD], texts.slice(a, SHARD).to_pylist()) for a in range(0, len(groups), SHARD)]
+        first, last = merge(groups, shards)
         found = np.flatnonzero(first <= last)
         if len(found):
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +282,7 @@ def _merged(around: DataFrame) -> DataFrame:
                 names=["digest", "start", "end"],
             )
 
-    ordered = around.drop("hot").repartition("hash").sortWithinPartitions("hash", "digest", "place")
+    ordered = around.drop("hot").repartition("hash").sortWithinPartitions("hash")
     return ordered.mapInArrow(released(run), "digest binary, start long, end long")
 
 
@@ -298,7 +324,10 @@ def repeated_spans(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     small = rows <= BROADCAST_ROWS and items <= BROADCAST_ITEMS
     there = df.select(F.col(key_col).alias("doc"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
     joined = there.join(F.broadcast(wanted) if small else wanted, F.col("doc").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("want")))
-    around = _surroundings(joined.select("text", "digest", "wanted"))
+    joined = joined.select("text", "digest", "wanted")
+    if joined.count() > rows:  # rows of the table repeat; a text's surroundings count once
+        joined = joined.dropDuplicates(["digest"])
+    around = _surroundings(joined)
     spans = _merged(around.where("NOT hot"))
     if not shared.where("hot").isEmpty():
         spans = spans.unionByName(_counted(around.where("hot")))
@@ -309,9 +338,9 @@ def repeated_spans(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
 
 
 def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", cap: int | None = None) -> DataFrame:
-    """Rows (key, n_bytes, removed, kept): the maximal runs of removed bytes (array of start, end) and the rest (binary).
+    """Rows (key, n_bytes, removed, kept, kept_text): the maximal runs of removed bytes (array of start, end) and the rest.
 
-    Texts are judged as UTF-8 bytes, on the whole table and on the input: copies of a text of LENGTH bytes or more lose everything,
+    ``kept`` is binary; ``kept_text`` has its whole characters (a cut may leave a part of one at the edge of a run).     Texts are judged as UTF-8 bytes, on the whole table and on the input: copies of a text of LENGTH bytes or more lose everything,
     shorter ones nothing. Null texts count as empty. Repeated rows are copies; rows that share a key (or have none) are
     treated each by its own text. An empty table gives an empty one; other columns are not read.
     """
@@ -327,7 +356,7 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                size, removed, kept = [], [], []
+                size, removed, kept, whole_text = [], [], [], []
                 for text, found in zip(batch.column(1), batch.column(2), strict=True):
                     raw, runs, at, rest = (text.as_py() or "").encode(), [], 0, []
                     for s in found.as_py() or ():
@@ -340,9 +369,12 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
                         at = r["end"]
                     size.append(len(raw))
                     removed.append(runs)
-                    kept.append(b"".join([*rest, raw[at:]]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())], names=[key_col, "n_bytes", "removed", "kept"])
+                    rest.append(raw[at:])
+                    kept.append(b"".join(rest))
+                    whole_text.append("".join(r.decode(errors="ignore") for r in rest))
+                columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary()), pa.array(whole_text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key_col, "n_bytes", "removed", "kept", "kept_text"])
 
     there = df.select(key_col, text_col, _digest(text_col).alias("digest"))
     joined = there.join(F.broadcast(spans) if small else spans, F.col("digest") == F.col("d"), "left").select(key_col, text_col, "spans")
-    return joined.mapInArrow(released(run), f"`{key_col}` {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    return joined.mapInArrow(released(run), f"`{key_col}` {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary, kept_text string")

@@ -23,7 +23,7 @@ def brute(texts, n):
     return out
 
 
-def by_merge(texts, n, gram):
+def by_merge(texts, n, gram, shard):
     """What the operator does with different texts, without Spark."""
     occurrences, spans = [], [[] for _ in texts]
     for t, raw in enumerate(texts):
@@ -36,7 +36,9 @@ def by_merge(texts, n, gram):
     if occurrences:
         before = n - gram
         groups = np.cumsum([0] + [int(a[0] != b[0]) for a, b in zip(occurrences, occurrences[1:])])
-        first, last = S.merge(groups, np.array([min(p, before) for _, _, p in occurrences]), [texts[t][max(0, p - before) : p + n] for _, t, p in occurrences], n, gram)
+        left, around = np.array([min(p, before) for _, _, p in occurrences]), [texts[t][max(0, p - before) : p + n] for _, t, p in occurrences]
+        shards = [S.transform(groups[a : a + shard], left[a : a + shard], around[a : a + shard], n, gram) for a in range(0, len(groups), shard)]
+        first, last = S.merge(groups, shards, n, gram)
         for (_, t, p), a, b in zip(occurrences, first.tolist(), last.tolist(), strict=True):
             if a <= b:
                 spans[t].append((p + a, p + b + n))
@@ -62,7 +64,7 @@ def test_merge_equals_brute_force(monkeypatch, step, dense):
         for _ in range(25):
             pool = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(4)]
             texts = list({b"".join(rng.choice(pool) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 7))})
-            assert by_merge(texts, n, gram) == brute(texts, n)
+            assert by_merge(texts, n, gram, rng.choice([1, 2, 5, 100])) == brute(texts, n)
 
 
 def documents():
@@ -83,6 +85,7 @@ def test_documents(spark, monkeypatch, cap, rows):
     got = []
     for r in S.remove_repeats(df, cap=cap).collect():
         got.append((str(r.doc_id), r.n_bytes, [(s["start"], s["end"]) for s in r.removed], bytes(r.kept)))
+        assert r.kept_text == bytes(r.kept).decode(errors="ignore")
     want = []
     for (k, t), spans in zip(docs, brute([t for _, t in docs], 400), strict=True):
         raw, at, kept = (t or "").encode(), 0, b""
