@@ -78,9 +78,12 @@ def cited_but_missing(cited: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables ``files``, ``doc_chunks`` and ``ingest_audit`` of a database. Chunks are written before their files.
+    """Tables ``files``, ``doc_chunks``, ``files_removed`` and ``ingest_audit`` of a database.
 
-    A file's row is the commit mark: chunks without one are not read, and writing the batch again replaces them.
+    Each ingestion is a run of its own name and writes partitions that no other run writes: first its chunks, then its files.
+    A file's row (id, run) is the commit mark: only that run's chunks of the file are read. What a crash between the writes
+    leaves behind is never read. A text that two runs store at once counts once, by the lesser run. Deleting appends a row to ``files_removed``;
+    ``vacuum`` takes the removed rows off the disk.
     """
 
     def __init__(self, spark: SparkSession, database: str = "lectern"):
@@ -90,13 +93,16 @@ class Store:
         return f"{self.database}.{table}"
 
     def create_tables(self) -> None:
+        """Create the tables that are missing; a vacuum that broke off while it put rows back is finished."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name('files')} ({FILES}) USING parquet")
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name('doc_chunks')} ({CHUNKS}, batch STRING) USING parquet PARTITIONED BY (batch)")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name('files')} ({FILES}, run STRING) USING parquet PARTITIONED BY (run)")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name('doc_chunks')} ({CHUNKS}, run STRING) USING parquet PARTITIONED BY (run)")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name('files_removed')} (id STRING, run STRING) USING parquet")
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name('ingest_audit')} (batch STRING, status STRING, documents BIGINT, chunks BIGINT, seconds DOUBLE, error STRING, at TIMESTAMP) USING parquet")
+        self._put_back()
 
     def wipe(self) -> None:
-        for table in ("files", "doc_chunks", "ingest_audit"):
+        for table in ("files", "doc_chunks", "files_removed", "ingest_audit", "files_kept", "doc_chunks_kept"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")
         self.create_tables()
 
@@ -108,34 +114,40 @@ class Store:
         self.spark.catalog.refreshTable(self.name(table))
         return self.spark.table(self.name(table))
 
+    def _committed(self) -> DataFrame:
+        """Rows (file_id, run) of the files that are there; only these two columns are scanned."""
+        every = self._table("files").select("id", "run").join(self._table("files_removed"), ["id", "run"], "left_anti")
+        return every.groupBy(F.col("id").alias("file_id")).agg(F.min("run").alias("run"))
+
+    def _present(self, table: str) -> DataFrame:
+        """The rows of ``files`` or ``doc_chunks`` that count, with their run."""
+        key = "id" if table == "files" else "file_id"
+        return self._table(table).join(self._committed().withColumnRenamed("file_id", key), [key, "run"], "left_semi")
+
     def files(self) -> DataFrame:
-        return self._table("files")
+        return self._present("files").select("id", "title", "extracted_text")
 
     def chunks(self) -> DataFrame:
         """The chunks of files that are there."""
-        known = self.files().select(F.col("id").alias("file_id"))
-        return self._table("doc_chunks").drop("batch").join(known, "file_id", "left_semi").select("id", "file_id", "chunk_index", "text_data", "embeddings")
+        return self._present("doc_chunks").select("id", "file_id", "chunk_index", "text_data", "embeddings")
 
     def ingest(self, docs: DataFrame, batch: str, chunker) -> dict:
         """Insert the new ones of ``docs`` (title, text). ``chunker`` maps (file_id, text) to chunks. Returns counts.
 
-        A batch that fails leaves no file; running it again, or another batch with the same texts, completes the work.
+        A batch that fails leaves no file; running it again, or another batch with the same texts, completes the work. ``batch``
+        names the audit row only: batches of one name, of one stream or several, don't touch each other's rows.
         """
         import time
+        import uuid
 
-        began = time.time()
+        began, run = time.time(), f"{batch}-{uuid.uuid4().hex}"
         try:
             full, _ = split_empty(docs)
             fresh = new_files(as_files(full), self.files())
             made = chunker(fresh.select(F.col("id").alias("file_id"), F.col("extracted_text").alias("text")))
-            rows = made.select(F.col("chunk_id").alias("id"), "file_id", "chunk_index", "text_data", "embeddings", F.lit(batch).alias("batch"))
-            rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")  # a stream has a session of its own
-            rows.write.mode("overwrite").insertInto(self.name("doc_chunks"), overwrite=True)
-            written = self._table("doc_chunks").where(F.col("batch") == batch)
-            n_chunks = written.count()
-            new = fresh.select("id", "title", "extracted_text")
-            n_files = new.count()
-            new.write.mode("append").insertInto(self.name("files"))
+            made.select(F.col("chunk_id").alias("id"), "file_id", "chunk_index", "text_data", "embeddings", F.lit(run).alias("run")).write.mode("append").insertInto(self.name("doc_chunks"))
+            fresh.select("id", "title", "extracted_text", F.lit(run).alias("run")).write.mode("append").insertInto(self.name("files"))
+            n_files, n_chunks = (self._table(t).where(F.col("run") == run).count() for t in ("files", "doc_chunks"))
             self._log(batch, "SUCCESS", n_files, n_chunks, time.time() - began, None)
             return {"documents": n_files, "chunks": n_chunks}
         except Exception as e:
@@ -150,15 +162,28 @@ class Store:
         return self._table("ingest_audit").where(F.col("batch") == batch)
 
     def delete(self, file_id: str) -> None:
-        """Remove a file and its chunks; both tables are rewritten through a staging table."""
-        ids = self.spark.createDataFrame([(file_id,)], "id string")
-        gone = ids.withColumnRenamed("id", "_gone")
-        for table, key in (("doc_chunks", "file_id"), ("files", "id")):
-            rest = self._table(table)
-            rest = rest.join(gone, rest[key] == gone["_gone"], "left_anti")
-            staging = self.name(f"{table}_staging")
-            self.spark.sql(f"DROP TABLE IF EXISTS {staging}")
-            rest.write.saveAsTable(staging)
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-            self.spark.table(staging).write.mode("overwrite").insertInto(self.name(table), overwrite=True)
-            self.spark.sql(f"DROP TABLE {staging}")
+        """Remove a file and its chunks, by one appended row for each run that stored it; an unknown id changes nothing."""
+        stored = self._table("files").where(F.col("id") == file_id).select("id", "run")
+        stored.join(self._table("files_removed"), ["id", "run"], "left_anti").write.mode("append").insertInto(self.name("files_removed"))
+
+    def vacuum(self) -> None:
+        """Write both tables anew without rows that don't count: removed files, chunks of runs that failed. Not beside other writers.
+
+        What stays is first written to a table of its own, which exists only once it is whole, and then put back; a vacuum that
+        broke off in between is finished by ``create_tables``.
+        """
+        for table in ("doc_chunks", "files"):
+            kept = self.name(f"{table}_kept")
+            self._present(table).select(*self._table(table).columns).write.saveAsTable(kept)
+            self._put_back()
+
+    def _put_back(self) -> None:
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        for table in ("doc_chunks", "files"):
+            kept = self.name(f"{table}_kept")
+            if self.spark.catalog.tableExists(kept):
+                self.spark.conf.set(mode, "static")
+                self.spark.table(kept).write.mode("overwrite").insertInto(self.name(table), overwrite=True)
+                self.spark.conf.set(mode, before)
+                self.spark.sql(f"DROP TABLE {kept}")

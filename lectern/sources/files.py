@@ -21,16 +21,18 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.{md,txt}") -> Data
     return raw.select("path", title_of_path(F.regexp_replace("path", r"\.(md|txt)$", ".pdf")).alias("title"), clean_lines(F.col("value")).alias("text"))
 
 
-def accept_uploads(spark: SparkSession, path: str, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused) files of a landing folder: ``.pdf`` in any case, and not beyond the size cap."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    named = files.withColumn("name", name)
-    reason = F.when(~F.lower("name").endswith(".pdf"), "not a PDF file").when(F.col("length") > s.max_upload_bytes, "too large")
-    judged = named.withColumn("reason", reason)
+def judge_uploads(files: DataFrame, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of rows (path, length, content, ...): ``.pdf`` in any case, and not beyond the size cap."""
+    reason = F.when(~F.lower("path").endswith(".pdf"), "not a PDF file").when(F.col("length") > s.max_upload_bytes, "too large")
+    judged = files.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)).withColumn("reason", reason)
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL").drop("content")
 
 
+def accept_uploads(spark: SparkSession, path: str, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) files of a landing folder."""
+    return judge_uploads(spark.read.format("binaryFile").load(path), s)
+
+
 def pdf_pages(content: bytes, first: int, last: int, fast: bool) -> str:
     """The markdown (or plain text) of a page range; needs PyMuPDF on the executors."""
     import pymupdf

@@ -18,13 +18,23 @@ def arriving_texts(spark: SparkSession, path: str, files_per_batch: int = 100) -
     return raw.select(title_of_path(F.regexp_replace(F.col("_metadata.file_path"), r"\.(md|txt)$", ".pdf")).alias("title"), clean_lines(F.col("value")).alias("text"))
 
 
-def ingest_stream(docs: DataFrame, store: Store, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "ingest") -> StreamingQuery:
-    """Run ``Store.ingest`` on each micro-batch until what is there has been read.
+def arriving_files(spark: SparkSession, path: str, files_per_batch: int = 100, clean: str = "off", archive: str | None = None) -> DataFrame:
+    """A stream of rows (path, modificationTime, length, content) of the files that appear below ``path``.
 
-    A batch that is delivered again finds its files known (or replaces chunks whose files are missing), so nothing is stored twice.
+    ``clean``: "delete" removes a file once its batch is done and the next one begins, "archive" moves it below ``archive``, "off" leaves it.
+    """
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    raw = raw.option("maxFilesPerTrigger", files_per_batch).option("cleanSource", clean)
+    return (raw.option("sourceArchiveDir", archive) if archive else raw).load(path)
+
+
+def ingest_stream(docs: DataFrame, store: Store, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "ingest", prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Run ``Store.ingest`` on each micro-batch until what is there has been read. ``prepare`` makes a batch's rows (title, text).
+
+    A batch that is delivered again finds its files known, so nothing is stored twice; several streams may fill one store.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        store.ingest(batch, f"{name}-{number}", chunker)
+        store.ingest(prepare(batch) if prepare else batch, f"{name}-{number}", chunker)
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

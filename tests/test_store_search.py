@@ -11,7 +11,7 @@ from lectern.config import Settings
 from lectern.functions.embedding import ProviderError, hash_vector
 from lectern.operators import agent, chunking, evaluate, search, store
 from lectern.sources import files as sources
-from lectern.streaming.ingest import arriving_texts, ingest_stream
+from lectern.streaming.ingest import arriving_files, arriving_texts, ingest_stream
 
 
 @pytest.fixture(scope="module")
@@ -127,17 +127,61 @@ def test_store_ingest_is_repeatable(spark):
     with pytest.raises(RuntimeError):
         s.ingest(spark.createDataFrame([("T3", "New.")], "title string, text string"), "b2", broken)
     assert s.files().count() == 2 and [r.status for r in s.status("b2").collect()] == ["FAILURE"]
-    # A crash between the two writes leaves chunks without a file; they are not read, and the next attempt replaces them.
-    orphan = spark.createDataFrame([("chk_x", "ghost", 0, "t", [0.0], "b3")], "id string, file_id string, chunk_index long, text_data string, embeddings array<double>, batch string")
-    orphan.write.mode("append").insertInto(s.name("doc_chunks"))
-    assert s.chunks().count() == 2
+    s.delete("no such id")
     s.delete(s.files().where("title = 'T1'").first().id)
     assert s.files().count() == 1 and s.chunks().count() == 1
+    assert s.ingest(docs, "b4", chunker) == {"documents": 1, "chunks": 1} and s.files().count() == 2 and s.chunks().count() == 2
     s.wipe()
     assert s.files().count() == 0
 
 
-def test_stream_ingests_each_text_once(spark, tmp_path):
+def test_batches_of_one_name_keep_their_chunks(spark):
+    s = store.Store(spark, "lectern_names")
+    s.create_tables()
+    s.wipe()
+    one = lambda text: spark.createDataFrame([(text[:3], text)], "title string, text string")
+    for text in ("First words.", "Second words.", "First words."):
+        s.ingest(one(text), "x", chunking.chunk_documents)
+    assert s.files().count() == 2 and {r.text_data for r in s.chunks().collect()} == {"First words.", "Second words."}
+    assert [r.documents for r in s.status("x").orderBy("at").collect()] == [1, 1, 0]
+    s.wipe()
+
+
+def test_a_crash_between_the_writes_leaves_nothing_that_is_read(spark, monkeypatch):
+    s = store.Store(spark, "lectern_crash")
+    s.create_tables()
+    s.wipe()
+    docs = spark.createDataFrame([("A", "Some text."), ("B", "More text.")], "title string, text string")
+    names, real = [], store.Store.name
+
+    def failing(self, table):
+        names.append(table)
+        if names[-2:] == ["doc_chunks", "files"]:
+            raise RuntimeError("crash")
+        return real(self, table)
+
+    monkeypatch.setattr(store.Store, "name", failing)
+    with pytest.raises(RuntimeError):
+        s.ingest(docs, "b", chunking.chunk_documents)
+    monkeypatch.setattr(store.Store, "name", real)
+    assert spark.table("lectern_crash.doc_chunks").count() == 2 and s.files().count() == 0 and s.chunks().count() == 0
+    assert s.ingest(docs, "b", chunking.chunk_documents) == {"documents": 2, "chunks": 2} and s.chunks().count() == 2
+    # Two runs that store the same text at once.
+    twin = spark.table("lectern_crash.files").withColumn("run", F.lit("zzz"))
+    twin.write.mode("append").insertInto("lectern_crash.files")
+    assert s.files().count() == 2 and s.chunks().count() == 2
+    s.delete(s.files().where("title = 'A'").first().id)
+    assert [r.title for r in s.files().collect()] == ["B"] and s.chunks().count() == 1
+    s.vacuum()
+    assert s.chunks().count() == 1 == spark.table("lectern_crash.doc_chunks").count() == spark.table("lectern_crash.files").count()
+    spark.table("lectern_crash.files").write.saveAsTable("lectern_crash.files_kept")
+    spark.sql("TRUNCATE TABLE lectern_crash.files")
+    s.create_tables()
+    assert [r.title for r in s.files().collect()] == ["B"] and s.ingest(docs, "b", chunking.chunk_documents)["documents"] == 1
+    s.wipe()
+
+
+def test_streams_ingest_each_text_once(spark, tmp_path):
     s = store.Store(spark, "lectern_stream")
     s.create_tables()
     s.wipe()
@@ -145,12 +189,31 @@ def test_stream_ingests_each_text_once(spark, tmp_path):
     folder.mkdir()
     (folder / "first_doc.md").write_text("# A\nHello there. Good day.")
     (folder / "second.md").write_text("1 of 2\nOther words here.")
-    run = lambda: ingest_stream(arriving_texts(spark, str(folder), 1), s, chunking.chunk_documents, str(tmp_path / "check")).awaitTermination()
-    run()
+    run = lambda check: ingest_stream(arriving_texts(spark, str(folder), 1), s, chunking.chunk_documents, str(tmp_path / check)).awaitTermination()
+    run("check")
     assert {r.title for r in s.files().collect()} == {"First_Doc", "Second"} and s.chunks().count() == 2
     (folder / "copy.md").write_text("Other words here.")
-    run()
+    run("check")
     assert s.files().count() == 2 and s.chunks().count() == 2
+    (folder / "third.md").write_text("A third one.")
+    run("another stream's")
+    assert s.files().count() == 3 and s.chunks().count() == 3
+    s.wipe()
+
+
+def test_pdf_stream_cleans_its_folder(spark, tmp_path):
+    s = store.Store(spark, "lectern_pdf")
+    s.create_tables()
+    s.wipe()
+    folder = tmp_path / "in"
+    folder.mkdir()
+    pages, count = lambda c, a, z, fast: f"{c.decode()} {a}-{z}.", lambda c: 1
+    render = lambda files: sources.parse_pdfs(files, pages=pages, count=count)
+    for n, name in enumerate(("one.pdf", "two.PDF", "notes.txt", "large.pdf")):
+        (folder / name).write_text("x" * 100 if name == "large.pdf" else f"Text {n}")
+        ingest_stream(arriving_files(spark, str(folder), 1, "delete"), s, chunking.chunk_documents, str(tmp_path / "check"), prepare=lambda b: render(sources.judge_uploads(b, Settings(max_upload_bytes=50))[0])).awaitTermination()
+    assert {(r.title, r.extracted_text) for r in s.files().collect()} == {("One", "Text 0 0-1."), ("Two.Pdf", "Text 1 0-1.")}
+    assert not (folder / "one.pdf").exists()
     s.wipe()
 
 
