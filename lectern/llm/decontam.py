@@ -1,30 +1,27 @@
-"""Benchmark decontamination by runs of equal words, in DataFrame functions only.
+"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Where at least MIN_SHARE of a window's words stand at the same places of a text, the others cut the equal ones into so few
-pieces that one of them has ``run_words`` words or more. The hashes of all such runs of the benchmark items meet those of
-the training texts; around each hit the item and the text are laid side by side, and the pair counts if enough of the
-item's words near the hit stand at the same places. Spaced masks, which ignore some places, only count a pair's hits.
+A mask ignores some places of a stretch of words; the hash of the others is a seed. The masks of a family, laid at every place
+of the benchmark items, meet every window that has enough equal words (``complete`` proves it), so nothing is lost. The items'
+seeds meet those of the training texts; around each hit the item and the text are laid side by side, and all windows of
+the item that contain the hit are verified: a window counts if enough of its words stand at the same places of the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-# Each mask looks at the words marked 1; its length is the length of the window. All have KEY_WORDS places in common.
-# The masks, laid at every STRIDE-th place and at the last one, define n_hits; no overlap is sought by them.
-MASKS = ("110110010111", "110111100101", "110110101101")
-STRIDE = 2
-KEY_WORDS = 4
+# Families of masks; a mask looks at the words marked 1. Items take the first family that is complete for their windows.
+FAMILIES = (("11011",), ("11101", "100111"), ("1101", "1011"), ("101",), ("11",), ("1",))
 WINDOW = 24
 MIN_SHARE = 0.8
 SEGMENT = 2048
 BROADCAST_SEEDS = 200_000
+BLOOM_SLOTS = 1 << 21  # of each of two tables, at most some 50 MB as a broadcast
 
 
 def word_hashes(text: Column) -> Column:
@@ -32,31 +29,35 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def shared_places(masks) -> tuple[int, ...]:
-    """The first KEY_WORDS places that all masks look at."""
-    common = [i for i in range(min(map(len, masks))) if all(m[i] == "1" for m in masks)]
-    if len(common) < KEY_WORDS:
-        raise ValueError(f"the masks need {KEY_WORDS} places in common")
-    return tuple(common[:KEY_WORDS])
-
-
-def _hash(h: str, at: Column, places) -> Column:
-    return F.xxhash64(*[F.get(h, at + i) for i in places])
-
-
-def need_words(n: int, window: int, min_share: float) -> int:
-    """The least number of equal words in a window of an item of ``n`` words."""
-    size = min(n, window)
+def need_words(size: int, min_share: float) -> int:
+    """The least number of equal words in a window of ``size`` words."""
     return next((m for m in range(size) if m / size >= min_share), size)
 
 
-def run_words(n: int, window: int, min_share: float) -> int:
-    """The words in a row, KEY_WORDS at most, that every window with enough equal words has.
+def complete(masks: tuple[str, ...], size: int, changed: int) -> bool:
+    """Whether every window of ``size`` words, ``changed`` of them at most not equal, has a place where a mask sees equal words only.
 
-    ``c`` changed words cut the equal ones into ``c + 1`` pieces, the longest of which has at least their mean length.
+    Goes through the places with the least number of changes for each pattern of the last words that has met no mask.
     """
-    need = need_words(n, window, min_share)
-    return max(1, min(KEY_WORDS, -(-need // (min(n, window) - need + 1))))
+    last = (1 << max(map(len, masks))) - 1
+    sees = [(len(m), int(m, 2)) for m in masks]
+    least = {0: 0}
+    for n in range(1, size + 1):
+        after: dict[int, int] = {}
+        for seen, k in least.items():
+            for equal in (0, 1):
+                now, cost = (seen << 1 | equal) & last, k + 1 - equal
+                if cost <= changed and not any(n >= length and now & m == m for length, m in sees):
+                    after[now] = min(cost, after.get(now, cost))
+        least = after
+    return not least
+
+
+@lru_cache
+def family_for(size: int, min_share: float) -> int:
+    """The number of the first complete family for windows of ``size`` words."""
+    changed = size - need_words(size, min_share)
+    return next((f for f, masks in enumerate(FAMILIES) if complete(masks, size, changed)), len(FAMILIES) - 1)
 
 
 def _segments(df: DataFrame, h: str, window: int, span: int) -> DataFrame:
@@ -74,24 +75,41 @@ def _segments(df: DataFrame, h: str, window: int, span: int) -> DataFrame:
     return df.where(F.size(h) > 0).withColumn("_c", F.explode(F.transform(start, cut))).select(*[c for c in df.columns if c != h], "_c.*")
 
 
-def _near_keys(texts: DataFrame, keys: DataFrame, places: tuple[int, ...], window: int, span: int, small: bool) -> DataFrame:
-    """Rows (_doc, _row, at, first, around): the words about each place of a text whose words at ``places`` make one of ``keys``.
+def _seed(h: str, at: Column, mask: str) -> Column:
+    """The hash of the mask and of the words that it sees when it is laid at place ``at``."""
+    return F.xxhash64(F.lit(mask), *[F.get(h, at + i) for i, bit in enumerate(mask) if bit == "1"])
+
+
+def _folds(key: Column) -> list[tuple[str, Column]]:
+    return [("_f0", F.pmod(key, F.lit(BLOOM_SLOTS))), ("_f1", F.pmod(F.shiftright(key, 32), F.lit(BLOOM_SLOTS)))]
+
+
+def _met(texts: DataFrame, seeds: DataFrame, masks: list[str], window: int, small: bool) -> DataFrame:
+    """Rows (_doc, _text, key, at, first, around): the words about each place of a text where a mask gives one of the seeds' keys.
 
-    This is the only step that touches every word, so it is one generated loop over the words with one look-up each.
+    This is the only step that touches every word: one generated loop with a look-up for each mask in use. Seeds that are too
+    many for a broadcast are first met through two tables of BLOOM_SLOTS slots, so that only likely places are shuffled.
     """
+    span = max(map(len, masks), default=1)
     rows = _segments(texts, "_h", window, span)
-    last = F.least(F.col("skip") + SEGMENT, F.size("part") - max(places)) - 1
-    every = rows.where(last >= F.col("skip")).select("_doc", "_row", "low", "part", F.explode(F.sequence("skip", last)).alias("i"))
-    keyed = every.withColumn("key", _hash("part", F.col("i"), places))
+    last = F.least(F.col("skip") + SEGMENT, F.size("part") - min(map(len, masks), default=1) + 1) - 1
+    every = rows.where(last >= F.col("skip")).select("_doc", "_text", "low", "part", F.explode(F.sequence("skip", last)).alias("i"))
+    keys = [_seed("part", F.col("i"), m) for m in masks] or [F.lit(None).cast("long")]
+    every = every.withColumn("key", keys[0]) if len(keys) == 1 else every.withColumn("key", F.explode(F.array(*keys)))
+    known = seeds.select("key").distinct()
     if small:
-        met = keyed.join(F.broadcast(keys), "key", "left_semi")
+        met = every.join(F.broadcast(known), "key", "left_semi")
     else:
-        met = keyed.select("_doc", "low", "i", "key").join(keys, "key", "left_semi").select(F.col("_doc").alias("_met"), F.col("low").alias("_low"), "i")
-        met = rows.join(met, F.col("_doc").eqNullSafe(F.col("_met")) & (F.col("low") == F.col("_low")))
+        likely = every.select("_doc", "_text", "low", "i", "key")
+        for name, slot in _folds(F.col("key")):
+            likely = likely.withColumn(name, slot).join(F.broadcast(known.select(slot.alias(name)).distinct()), name, "left_semi").drop(name)
+        likely = likely.distinct().join(known, "key", "left_semi")
+        likely = likely.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), F.col("low").alias("_l"), "i", "key")
+        met = rows.join(likely, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")) & (F.col("low") == F.col("_l")))
     first = F.greatest(F.lit(0), F.col("i") - window)
     # The identity keeps this projection out of the generated loop above.
     around = F.transform(F.slice("part", first + 1, F.lit(2 * window + span)), lambda x: x)
-    return met.select("_doc", "_row", (F.col("low") + F.col("i")).alias("at"), (F.col("low") + first).alias("first"), around.alias("around"))
+    return met.select("_doc", "_text", "key", (F.col("low") + F.col("i")).alias("at"), (F.col("low") + first).alias("first"), around.alias("around"))
 
 
 def find_overlaps(
@@ -101,108 +119,62 @@ def find_overlaps(
     doc_text: str = "text",
     item_key: str = "item_id",
     item_text: str = "text",
-    masks: tuple[str, ...] = MASKS,
     window: int = WINDOW,
     min_share: float = MIN_SHARE,
 ) -> DataFrame:
-    """Rows (doc key, item key, n_hits, overlap_words, overlap_share, doc_word) for each pair with a verified overlap.
-
-    An overlap is ``window`` words of an item around a hit (all of a shorter item) of which at least ``min_share`` stand
-    in the text at the same relative places; the best one of a pair is reported, ties by counted hits, then by the first
-    place. Substituted words are allowed, inserted or left out ones shift the places behind them. ``n_hits`` counts the
-    masked windows, laid at every STRIDE-th place of the item and at its last one, that meet the text and are verified in
-    the ``window`` words around them (for items shorter than the masks, exact copies); it is 0 where no masked window meets
-    an overlap. Null and empty texts and items have no words and no overlaps; rows that share a key are one document; repeated items are
-    reported under each key. Other columns are not read.
-
-    The words of a text are looked up once for each length of run that the items need (``run_words``). Texts are not
-    shuffled while the seeds number at most BROADCAST_SEEDS (they are counted first and broadcast); beyond that, places
-    and keys meet in a shuffled join and their texts are joined again.
+    """Rows (doc key, item key, n_windows, overlap_words, overlap_share, doc_word) for each pair with a verified overlap.
+
+    An overlap is a window of ``window`` words of an item (all of a shorter item) of which at least ``min_share`` stand in the
+    text at the same relative places. ``n_windows`` counts all such windows of the pair; the other columns tell of the best one,
+    ties by the first place. Substituted words are allowed, inserted or left out ones shift the places behind them; every
+    overlap is found (with the families here, for any window that FAMILIES[-2] or an earlier one is complete for, or of one word equal).
+    Null and empty texts and items have no words and no overlaps; rows that share a key are one document and equal rows
+    count once, and so it is with items. Null keys are keys like others. Other columns are not read.
+
+    Texts are not shuffled while the seeds number at most BROADCAST_SEEDS (they are counted first and broadcast); beyond that, the
+    likely places and the keys meet in a shuffled join and their texts are joined again, with the same result.
     """
-    items = benchmark.select(F.col(item_key).alias("_item"), word_hashes(F.col(item_text)).alias("_words")).where(F.size("_words") > 0)
-    items = materialize(items.withColumn("_n", F.size("_words")).withColumn("_i", F.monotonically_increasing_id()), "items")
-    texts = docs.select(F.col(doc_key).alias("_doc"), F.monotonically_increasing_id().alias("_row"), word_hashes(F.col(doc_text)).alias("_h"))
-    runs: dict[int, list[int]] = {}
-    for (n,) in items.select("_n").distinct().collect():
-        runs.setdefault(run_words(n, window, min_share), []).append(n)
-    # Without items there is one pass over nothing.
-    hits = [_hits(items.where(F.col("_n").isin(ns)), texts, k, masks, window, min_share) for k, ns in sorted(runs.items()) or [(KEY_WORDS, [0])]]
-    scored = reduce(DataFrame.unionByName, hits)
-    # The hits of one text and item at one distance have marks in common.
-    placed = scored.groupBy("_doc", "_row", "_item", "_i", "_shift").agg(F.max("_best").alias("_best"), F.size(F.array_distinct(F.flatten(F.collect_list("_marks")))).alias("_hits"))
-    pairs = placed.groupBy("_doc", "_item").agg(F.sum("_hits").alias("n_hits"), F.max("_best").alias("b"))
+    items = benchmark.select(F.col(item_key).alias("_item"), word_hashes(F.col(item_text)).alias("_words")).where(F.size("_words") > 0).distinct()
+    items = items.withColumn("_n", F.size("_words")).withColumn("_i", F.xxhash64("_words")).withColumn("_size", F.least("_n", F.lit(window)))
+    items = materialize(items, "items")
+    families: dict[int, list[int]] = {}
+    for (size,) in items.select("_size").distinct().collect():  # at most ``window`` rows
+        families.setdefault(family_for(size, min_share), []).append(size)
+    masks = sorted({m for f in families for m in FAMILIES[f]})
+    span = max(map(len, masks), default=1)
+    laid = [_laid(items.where(F.col("_size").isin(sizes)), m, window, span) for f, sizes in sorted(families.items()) for m in FAMILIES[f]]
+    seeds = materialize(reduce(DataFrame.unionByName, laid or [_laid(items, "1", window, span)]), "seeds")
+    small = seeds.count() <= BROADCAST_SEEDS
+    texts = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("_h")).withColumn("_text", F.xxhash64("_h"))
+    met = _met(texts, seeds, masks, window, small).join(F.broadcast(seeds) if small else seeds, "key").withColumn("_shift", F.col("at") - F.col("_at"))
+    behind = F.col("_begin") + F.col("_shift") - F.col("first")
+    same = F.transform("_beside", lambda a, j: F.when(a == F.get("around", behind + j), 1).otherwise(0))
+    met = met.select("_doc", "_text", "_item", "_i", "_n", "_size", "_at", "_begin", "_mask", "_shift", same.alias("_same"))
+    met = met.where(F.aggregate("_same", F.lit(0), lambda s, x: s + x) / F.col("_size") >= min_share)
+    # Where the same mask meets at the place before, too, that hit has all windows but the one that begins here.
+    before = F.col("_at") - F.col("_begin") - 1
+    again = reduce(Column.__and__, [(F.substring("_mask", i + 1, F.lit(1)) != "1") | (F.coalesce(F.get("_same", before + i), F.lit(0)) == 1) for i in range(span)], before >= 0)
+    low, high = F.when(again, F.col("_at")).otherwise(F.col("_begin")), F.least(F.col("_at"), F.col("_n") - F.col("_size"))
+    words = lambda b: F.aggregate(F.slice("_same", b - F.col("_begin") + 1, F.col("_size")), F.lit(0), lambda s, x: s + x)
+    each = F.transform(F.sequence(low, high), lambda b: F.struct(b.alias("begin"), words(b).alias("words")))
+    found = met.where(low <= high).select("_doc", "_text", "_item", "_i", "_size", "_shift", F.explode(F.filter(each, lambda x: x["words"] / F.col("_size") >= min_share)).alias("w"))
+    found = found.select("_doc", "_text", "_item", "_i", "_size", "_shift", "w.begin", "w.words").distinct()
+    best = F.struct((F.col("words") / F.col("_size")).alias("share"), F.col("words").alias("words"), (-F.greatest(F.lit(0), F.col("begin") + F.col("_shift"))).alias("place"))
+    pairs = found.groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("n_windows"), F.max(best).alias("b"))
     return pairs.select(
-        F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_hits",
-        F.col("b.overlap_words").cast("long").alias("overlap_words"), F.col("b.overlap_share").alias("overlap_share"), (-F.col("b.at")).cast("long").alias("doc_word"),
+        F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_windows",
+        F.col("b.words").cast("long").alias("overlap_words"), F.col("b.share").alias("overlap_share"), (-F.col("b.place")).cast("long").alias("doc_word"),
     )
 
 
-def _hits(items: DataFrame, texts: DataFrame, run: int, masks: tuple[str, ...], window: int, min_share: float) -> DataFrame:
-    """Rows (_doc, _row, _item, _i, _shift, _best, _marks) for each meeting of ``run`` words in a row near which an overlap is."""
-    span, places = max(map(len, masks)), tuple(range(run))
-    size = F.least(F.col("_n"), F.lit(window))
+def _laid(items: DataFrame, mask: str, window: int, span: int) -> DataFrame:
+    """Rows (_item, _i, _n, _size, _at, _begin, _beside, _mask, key): a mask at every place of the items, with all windows that contain it."""
     parts = _segments(items, "_words", window, span)
-    last = F.least(F.col("skip") + SEGMENT - 1, F.col("_n") - run - F.col("low"))
+    last = F.least(F.col("skip") + SEGMENT - 1, F.col("_n") - len(mask) - F.col("low"))
     laid = parts.where(last >= F.col("skip")).withColumn("i", F.explode(F.sequence("skip", last))).withColumn("_at", F.col("low") + F.col("i"))
-    # A seed brings the stretch of its item that is laid beside the text: all windows that contain the run.
-    laid = laid.withColumn("_begin", F.greatest(F.lit(0), F.col("_at") + run - size))
-    beside = F.slice("part", F.col("_begin") - F.col("low") + 1, F.least(F.col("_n"), F.col("_at") + size) - F.col("_begin"))
-    laid = laid.withColumn("_beside", beside).withColumn("key", _hash("part", F.col("i"), places))
-    seeds = materialize(laid.select("_item", "_i", "_n", "_at", "_begin", "_beside", "key"), "seeds")
-    small = seeds.count() <= BROADCAST_SEEDS
-    near = _near_keys(texts, seeds.select("key").distinct(), places, window, span, small)
-    near = near.withColumn("key", _hash("around", F.col("at") - F.col("first"), places))
-    met = near.join(F.broadcast(seeds) if small else seeds, "key").withColumn("_shift", F.col("at") - F.col("_at"))
-    behind = F.col("_begin") + F.col("_shift") - F.col("first")
-    same = F.transform("_beside", lambda a, j: F.when(a == F.get("around", behind + j), 1).otherwise(0))
-    met = met.select("_doc", "_row", "_item", "_i", "_n", "_at", "_begin", "_shift", same.alias("_same"))
-
-    def equal(begin: Column) -> Column:
-        """The number of equal words in the window that begins at place ``begin`` of the item."""
-        return F.aggregate(F.slice("_same", begin - F.col("_begin") + 1, size), F.lit(0), lambda s, x: s + x)
-
-    # Where the word before a run is equal too, another run begins there and has all windows but the one behind it.
-    again = F.coalesce(F.get("_same", F.col("_at") - F.col("_begin") - 1), F.lit(0)) == 1
-    met = met.withColumn("_low", F.when(again, F.col("_at")).otherwise(F.col("_begin"))).withColumn("_high", F.least(F.col("_at"), F.col("_n") - size))
-    each = F.transform(F.sequence("_low", "_high"), lambda b: _found(equal(b), size, 0, b))
-    enough = F.aggregate("_same", F.lit(0), lambda s, x: s + x) / size >= min_share
-    scored = met.where((F.col("_low") <= F.col("_high")) & enough).withColumn("_best", F.array_max(each)).where(F.col("_best.overlap_share") >= min_share)
-    scored = scored.withColumn("_marks", _marks(masks, window, span, size, min_share, equal))
-    best = F.greatest("_best", F.array_max(F.transform("_marks", lambda m: m["found"])))
-    return scored.select("_doc", "_row", "_item", "_i", "_shift", best.alias("_best"), "_marks")
-
-
-def _found(words: Column, size: Column, counted: int, begin: Column) -> Column:
-    """What is reported of the window that begins at place ``begin`` of the item; the greatest is the best."""
-    return F.struct((words / size).alias("overlap_share"), words.alias("overlap_words"), F.lit(counted).alias("counted"), (-F.greatest(F.lit(0), begin + F.col("_shift"))).alias("at"))
-
-
-def _marks(masks: tuple[str, ...], window: int, span: int, size: Column, min_share: float, equal: Callable[[Column], Column]) -> Column:
-    """A struct (mark, found) for each masked window whose words are equal and around which enough are, in a window from ``_low`` to ``_high``."""
-    least = min(map(len, masks))
-    half = (window - span) // 2
-    first = F.when(F.col("_low") == 0, 0).otherwise(F.col("_low") + half)
-    places = F.sequence(first, F.greatest(first, F.when(F.col("_high") == F.col("_n") - size, F.col("_n") - least).otherwise(F.col("_high") + half)))
-
-    def around(at: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(at - half, F.col("_n") - window))
-
-    def met(mask: str) -> Callable[[Column], Column]:
-        def holds(at: Column) -> Column:
-            begin = around(at)
-            inside = (begin >= F.col("_low")) & (begin <= F.col("_high")) & (at + len(mask) <= F.col("_n"))
-            laid = (at % STRIDE == 0) | (at == F.col("_n") - least)
-            ones = [F.coalesce(F.get("_same", at - F.col("_begin") + i), F.lit(0)) == 1 for i, bit in enumerate(mask) if bit == "1"]
-            return reduce(Column.__and__, ones, inside & laid) & (equal(begin) / size >= min_share)
-
-        return holds
-
-    def mark(k: int) -> Callable[[Column], Column]:
-        return lambda at: F.struct((at * len(masks) + k).alias("mark"), _found(equal(around(at)), size, 1, around(at)).alias("found"))
-
-    every = F.concat(*[F.transform(F.filter(places, met(m)), mark(k)) for k, m in enumerate(masks)])
-    whole = F.filter(F.array(mark(0)(F.lit(0))), lambda m: m["found"]["overlap_words"] == F.col("_n"))
-    return F.when(F.col("_n") >= span, every).otherwise(whole)
+    laid = laid.withColumn("_begin", F.greatest(F.lit(0), F.col("_at") + len(mask) - F.col("_size")))
+    beside = F.slice("part", F.col("_begin") - F.col("low") + 1, F.least(F.col("_n"), F.col("_at") + F.col("_size")) - F.col("_begin"))
+    return laid.select("_item", "_i", "_n", "_size", "_at", "_begin", beside.alias("_beside"), F.lit(mask).alias("_mask"), _seed("part", F.col("i"), mask).alias("key"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", **options) -> DataFrame:

@@ -231,11 +231,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def _dealt(members: DataFrame, threshold: float) -> DataFrame:
-    """Copy each member to the tasks (grp, band, side, i, j) of the pairs of blocks that it is in.
+def with_tasks(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Append ``tasks``, the (low, cross, i, j, block) of the pairs of blocks that a member (grp, n, key, ...) is in.
 
-    A group's members fall into bands of set sizes; only those of one band (side null) or of neighbouring bands can reach
-    the threshold. A band has as many blocks as its members and bytes need; ``block`` tells a task's two blocks apart.
+    A group's members fall into bands of set sizes; only those of one band or (``cross``) of neighbouring bands, of which
+    ``low`` is the lower, can reach the threshold. A band has as many blocks as its members and bytes need; ``block`` tells a
+    task's two blocks apart.
     """
     width = -math.log(threshold) * 1.000001 if threshold < 1 else 1e-6
     rows = members.withColumn("band", F.floor(F.log("n") / width).cast("long"))
@@ -254,11 +255,11 @@ def _dealt(members: DataFrame, threshold: float) -> DataFrame:
     own = tasks("blocks", lambda o: task(F.col("band"), False, F.least("_m", o), F.greatest("_m", o), F.col("_m")))
     above = tasks("above", lambda o: task(F.col("band"), True, F.col("_m"), o, F.lit(0)))
     under = tasks("under", lambda o: task(F.col("band") - 1, True, o, F.col("_m"), F.lit(1)))
-    return rows.withColumn("_t", F.explode(F.concat(own, above, under))).select("grp", "_t.low", "_t.cross", "_t.i", "_t.j", "_t.block", "key", "copies", "set")
+    return rows.select(*members.columns, F.concat(own, above, under).alias("tasks"))
 
 
 def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Exact similarities within groups. ``members``: (grp, n, key, copies, set), ``set`` the bytes of the ``n`` shingle hashes.
+    """Exact similarities within groups. ``members``: (grp, tasks, key, copies, set), ``set`` the bytes of the shingle hashes.
 
     Rows (a, b, links, texts): for each task a row per member with its links counted there (b null; ``links`` counts the
     linked classes' copies, ``texts`` the classes), and star links (a, b, 0, 0) between linked members.
@@ -286,7 +287,8 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["a", "b", "links", "texts"])
 
-    return small_batches(_dealt(members, threshold).repartition(*by).sortWithinPartitions(*by)).mapInArrow(released(run), "a binary, b binary, links long, texts long")
+    dealt = members.withColumn("_t", F.explode("tasks")).select("grp", "_t.low", "_t.cross", "_t.i", "_t.j", "_t.block", "key", "copies", "set")
+    return small_batches(dealt.repartition(*by).sortWithinPartitions(*by)).mapInArrow(released(run), "a binary, b binary, links long, texts long")
 
 
 def linked(sets: list[np.ndarray], block: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -358,14 +360,14 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     reps = materialize(reps, "classes")
     groups = components(propose(reps.select("key", "sig"), trees, threshold, recall))
     wanted = groups.join(reps.select("key", "copies", "rep", "n"), groups["node"] == F.col("key"))
-    wanted = materialize(wanted.select("key", "copies", "rep", "n", F.xxhash64("label").alias("grp")), "members")
+    wanted = materialize(with_tasks(wanted.select("key", "copies", "rep", "n", F.xxhash64("label").alias("grp")), threshold), "members")
     known = wanted.select(F.col("rep").alias("r")).distinct()
     known = F.broadcast(known) if wanted.count() <= BROADCAST_ROWS else known
     texts = df.join(known, df[key_col].eqNullSafe(known["r"]), "left_semi")
     # Rows that share a key may differ in text, hence the second condition; one set for each class.
     sets = shingle_sets(texts, key_col, text_col)
     found = wanted.join(sets, wanted["rep"].eqNullSafe(sets["doc"]) & (wanted["key"] == sets["key2"]))
-    found = found.dropDuplicates(["key"]).select("grp", "n", "key", "copies", "set")
+    found = found.dropDuplicates(["key"]).select("grp", "tasks", "key", "copies", "set")
     checked = materialize(verify(found, threshold), "links")
     discard(wanted)
     classes = components(checked.where("b IS NOT NULL").select("a", "b"))

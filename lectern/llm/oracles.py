@@ -23,21 +23,19 @@ SELECT w.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_link
 
 
 def overlaps() -> str:
-    """The masks laid at every place, for items as long as the masks at least."""
-    span, window = max(map(len, decontam.MASKS)), decontam.WINDOW
+    """All windows of all items at all places of all texts, without seeds."""
     token = r"[^\p{L}\p{N}]+"
-    masks = ", ".join(f"({n}, [{', '.join(str(i) for i, bit in enumerate(m) if bit == '1')}])" for n, m in enumerate(decontam.MASKS))
-    return rf"""WITH masks(m, places) AS (VALUES {masks}),
-docs AS (SELECT doc_id, {_TOKENS.format('text', token)} AS h FROM documents),
-items AS (SELECT item_id, {_TOKENS.format('text', token)} AS ws FROM benchmark),
-doc_places AS (SELECT doc_id, h, unnest(generate_series(0, len(h) - {span})) AS d_at FROM docs WHERE len(h) >= {span}),
-item_places AS (SELECT item_id, ws, len(ws) AS n, unnest(generate_series(0, len(ws) - {span})) AS i_at FROM items WHERE len(ws) >= {span}),
-doc_seeds AS (SELECT doc_id, h, d_at, m, array_to_string(list_transform(places, lambda p: h[d_at + p + 1]), ' ') AS seed FROM doc_places, masks),
-item_seeds AS (SELECT item_id, ws, n, i_at, m, array_to_string(list_transform(places, lambda p: ws[i_at + p + 1]), ' ') AS seed FROM item_places, masks WHERE i_at % {decontam.STRIDE} = 0 OR i_at = n - {span}),
-laid AS (SELECT doc_id, item_id, h, ws, least(n, {window}) AS size, greatest(0, least(i_at - {(window - span) // 2}, n - {window})) AS b, greatest(0, least(i_at - {(window - span) // 2}, n - {window})) + d_at - i_at AS f FROM doc_seeds JOIN item_seeds USING (m, seed)),
-counted AS (SELECT doc_id, item_id, size, f, len(list_filter(generate_series(0, size - 1), lambda k: f + k >= 0 AND f + k < len(h) AND h[greatest(1, f + k + 1)] = ws[b + k + 1])) AS same FROM laid),
-best AS (SELECT doc_id, item_id, count(*) AS n_hits, max(struct_pack(share := same / size, words := same, place := -greatest(0, f))) AS x FROM counted WHERE same / size >= CAST({decontam.MIN_SHARE} AS DOUBLE) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_hits, x.words AS overlap_words, x.share AS overlap_share, -x.place AS doc_word FROM best"""
+    least = f"CAST({decontam.MIN_SHARE} AS DOUBLE)"
+    return rf"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, h FROM (SELECT DISTINCT doc_id, {_TOKENS.format('text', token)} AS h FROM documents)),
+items AS (SELECT row_number() OVER () AS q, item_id, ws, len(ws) AS n, least(len(ws), {decontam.WINDOW}) AS size FROM (SELECT DISTINCT item_id, {_TOKENS.format('text', token)} AS ws FROM benchmark) WHERE len(ws) > 0),
+doc_words AS (SELECT r, unnest(h) AS w, unnest(generate_series(0, len(h) - 1)) AS p FROM docs WHERE len(h) > 0),
+item_words AS (SELECT q, unnest(ws) AS w, unnest(generate_series(0, n - 1)) AS i FROM items),
+met AS (SELECT r, q, p - i AS shift, list(i) AS same FROM doc_words JOIN item_words USING (w) GROUP BY ALL),
+near AS (SELECT r, q, item_id, n, size, shift, same FROM met JOIN items USING (q) WHERE len(same) / size >= {least}),
+placed AS (SELECT r, item_id, size, shift, same, unnest(generate_series(0, n - size)) AS b FROM near),
+counted AS (SELECT r, item_id, size, shift, b, len(list_filter(same, lambda i: i >= b AND i < b + size)) AS words FROM placed),
+best AS (SELECT doc_id, item_id, count(*) AS n_windows, max(struct_pack(share := words / size, words := words, place := -greatest(0, b + shift))) AS x FROM counted JOIN docs USING (r) WHERE words / size >= {least} GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_windows, x.words AS overlap_words, x.share AS overlap_share, -x.place AS doc_word FROM best"""
 
 
 def repeats() -> str:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -22,18 +23,23 @@ def cases(spark):
 @pytest.mark.parametrize("limit", [500_000, -1])
 def test_cases(spark, monkeypatch, limit):
     monkeypatch.setattr(decontam, "BROADCAST_SEEDS", limit)
+    monkeypatch.setattr(decontam, "BLOOM_SLOTS", 64)
     docs, items = cases(spark)
-    out = decontam.find_overlaps(docs, items)
-    got = {(r.doc_id, r.item_id): (r.overlap_words, r.doc_word) for r in out.collect()}
-    assert got == {(1, 1): (24, 1), (2, 1): (22, 0), (3, 2): (3, 1), (None, 5): (16, 0), (9, 1): (24, 1), (10, 6): (7, 0)}
+    out = decontam.find_overlaps(docs, items.union(items))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.overlap_words, r.doc_word) for r in out.collect()}
+    assert got == {(1, 1): (7, 24, 1), (2, 1): (7, 22, 0), (3, 2): (1, 3, 1), (None, 5): (1, 16, 0), (9, 1): (6, 24, 0), (10, 6): (1, 7, 0)}
     assert python_free(out)
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [4, 5, 6, 7, 8]
 
 
-def test_masks_share_places():
-    assert decontam.shared_places(decontam.MASKS) == (0, 1, 3, 4)
-    with pytest.raises(ValueError):
-        decontam.shared_places(["1101", "1011"])
+def test_families_are_complete():
+    """Against all ways to change as many words as the share allows."""
+    for size in range(1, decontam.WINDOW + 1):
+        changed = size - decontam.need_words(size, 0.8)
+        masks = decontam.FAMILIES[decontam.family_for(size, 0.8)]
+        sees = [sum(1 << (at + i) for i, bit in enumerate(m) if bit == "1") for m in masks for at in range(size - len(m) + 1)]
+        assert all(any(not hidden & m for m in sees) for hidden in (sum(1 << k for k in ks) for ks in itertools.combinations(range(size), changed)))
+    assert decontam.family_for(24, 0.8) == 0 and not decontam.complete(("11011",), 10, 2) and not decontam.complete(("111111",), 24, 4)
 
 
 def test_substitutions_up_to_a_fifth_are_found(spark):
@@ -60,7 +66,7 @@ def test_messy(spark, messy):
 
 
 def brute_force(docs, items, window=24, min_share=0.8):
-    """(doc, item) -> the most equal words of any window laid at any place."""
+    """(doc, item) -> (number of windows with enough equal words at any place, the most equal words of one)."""
     out = {}
     for d, text in docs:
         for k, item in items:
@@ -68,15 +74,16 @@ def brute_force(docs, items, window=24, min_share=0.8):
             size = min(window, len(ws))
             for shift in range(-len(ws), len(h)):
                 same = [0 <= i + shift < len(h) and h[i + shift] == w for i, w in enumerate(ws)]
-                best = max(sum(same[b : b + size]) for b in range(len(ws) - size + 1))
-                if best / size >= min_share:
-                    out[d, k] = max(best, out.get((d, k), 0))
+                for b in range(len(ws) - size + 1):
+                    if (words := sum(same[b : b + size])) / size >= min_share:
+                        n, best = out.get((d, k), (0, 0))
+                        out[d, k] = n + 1, max(best, words)
     return out
 
 
 def found_words(spark, docs, items):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    return {(r.doc_id, r.item_id): r.overlap_words for r in decontam.find_overlaps(df, bench).collect()}
+    return {(r.doc_id, r.item_id): (r.n_windows, r.overlap_words) for r in decontam.find_overlaps(df, bench).collect()}
 
 
 def changed_at(words, places):
