@@ -1,17 +1,19 @@
 """License scan by a positional index of rare words.
 
-The index holds the licence templates: each word's postings (template, position) and its inverse document frequency over
-the templates. A text is cut into words; those in the licence vocabulary are ranked by that frequency and only the rarest of each template
-are looked up. A posting at template position q met at text position p votes for the alignment p - q; alignments of one
-template that lie within a small drift are one candidate. A candidate counts if all mandatory phrases of the template
-stand, word by word, inside the aligned stretch and enough of the template's word weight is found there. Short base
-phrases are templates whose whole text is mandatory, so every place of theirs is found through their rarest word.
+The index holds the licence templates: each word's postings (template, positions) and its inverse document frequency over
+the templates; words of more than a quarter of the templates (and more than one) aren't indexed. A file's licence words are ranked by that frequency, rarest
+first, and for each template the first few of them are looked up. A posting at template position q met at text position p votes
+for the alignment p - q; the votes are intersected: a candidate is an alignment that two different words or more agree on,
+within a small drift. It counts if all mandatory phrases of the template stand, word by word, inside the aligned
+stretch and enough of the template's word weight is found there. Short base phrases are templates whose whole text is
+mandatory, so every place of theirs is found through their rarest word.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -48,6 +50,22 @@ NOTICES = [
     ("cc0", "dedicated to the public domain under the creative commons cc0 1.0 universal", ["cc0 1 0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     ("epl-2", "made available under the terms of the eclipse public license 2.0", ["eclipse public license"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["copyright notice and this permission notice"]),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", ["software distributed under the license is distributed on an as is basis"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("bsl-1", "distributed under the boost software license version 1.0", ["boost software license"]),
+    ("artistic-2", "this program is distributed under the terms of the artistic license 2.0", ["artistic license 2 0"]),
+    ("wtfpl", "do what the fuck you want to public license", ["what the fuck you want to public license"]),
+    ("ofl-1", "this font software is licensed under the sil open font license version 1.1", ["sil open font license"]),
+    ("eupl", "licensed under the european union public licence", ["european union public licence"]),
+    ("odbl", "this database is made available under the open database license", ["open database license"]),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ["gnu free documentation license"]),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4.0 international license", ["creative commons attribution noderivatives"]),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license", ["creative commons attribution noncommercial sharealike"]),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ["common development and distribution license"]),
+    ("ms-pl", "this source is subject to the microsoft public license", ["microsoft public license"]),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ["without fee and without a written agreement is hereby granted"]),
     ("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", ["unauthorized copying of this file"]),
 ]
 
@@ -69,48 +87,59 @@ class Template:
 
 
 class Index:
-    """Postings and weights of the templates. ``rare_words``: how many of a template's rarest words are looked up."""
+    """Postings and weights of the templates. ``rare_words``: how many of a file's rarest words are looked up for a template."""
 
-    def __init__(self, notices=tuple(NOTICES), base=tuple(BASE.items()), rare_words: int = 4, min_share: float = 0.6, drift: int = 3):
-        self.min_share, self.drift = min_share, drift
+    def __init__(self, notices=tuple(NOTICES), base=tuple(BASE.items()), rare_words: int = 6, agree: int = 2, min_share: float = 0.6, drift: int = 3):
+        self.rare_words, self.min_share, self.drift = rare_words, min_share, drift
         self.templates = [Template(label, words(text), [words(m) for m in must], False) for label, text, must in notices]
         self.templates += [Template(label, words(phrase), [words(phrase)], True) for phrase, label in base]
         n = len(self.templates)
         seen = Counter(w for t in self.templates for w in set(t.words))
         self.idf = {w: math.log(1 + n / k) for w, k in seen.items()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.agree: list[int] = []
         for number, t in enumerate(self.templates):
-            rarest = sorted(set(t.words), key=lambda w: (-self.idf[w], w))[: 1 if t.base else rare_words]
+            rarest = min(t.words, key=lambda w: (-self.idf[w], w))
+            indexed = {rarest} if t.base else {w for w in t.words if seen[w] <= max(1, n // 4)}
+            self.agree.append(min(agree, len(indexed)))
             for q, w in enumerate(t.words):
-                if w in rarest:
-                    self.postings[w].append((number, q))
+                if w in indexed:
+                    self.postings[w][number].append(q)
+        self.postings = {w: dict(p) for w, p in self.postings.items()}
 
     def scan(self, text: str) -> tuple[int, list[int], list[str], list[tuple[str, int, int, float]]]:
         """(number of words, starts of base phrases, their labels, matches as (label, first word, end word, share))."""
         found = words(text)
-        postings = self.postings
-        rare = [p for p, w in enumerate(found) if w in postings]
-        starts: set[tuple[int, str]] = set()
-        votes: dict[int, set[int]] = defaultdict(set)
-        for p in rare:
-            for number, q in postings[found[p]]:
-                if p >= q or not self.templates[number].base:
-                    votes[number].add(p - q)
-        matches = []
-        for number, at in votes.items():
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for p, w in enumerate(found):
+            if w in self.postings:
+                places[w].append(p)
+        votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        looked_up: Counter = Counter()
+        for w in sorted(places, key=lambda w: (-self.idf[w], w)):
+            for number, at in self.postings[w].items():
+                if looked_up[number] < self.rare_words:
+                    looked_up[number] += 1
+                    votes[number] += [(p - q, w) for q in at for p in places[w]]
+        matches, starts = set(), set()
+        for number, ballots in votes.items():
             t = self.templates[number]
             if t.base:
-                starts |= {(a, t.label) for a in at if a >= 0 and found[a : a + len(t.words)] == t.words}
-                continue
-            group: list[int] = []
-            for a in [*sorted(at), None]:
-                if group and (a is None or a - group[-1] > self.drift):
-                    if m := self._verify(t, found, max(0, group[0]), group[-1] + len(t.words)):
-                        matches.append(m)
-                    group = []
-                if a is not None:
-                    group.append(a)
-        return len(found), sorted({a for a, _ in starts}), sorted({label for _, label in starts}), sorted(set(matches))
+                starts |= {(a, t.label) for a, _ in ballots if a >= 0 and found[a : a + len(t.words)] == t.words}
+            elif looked_up[number] >= self.agree[number]:
+                matches |= {m for a, b in self._agreed(sorted(ballots), self.agree[number]) if (m := self._verify(t, found, max(0, a), b + len(t.words)))}
+        return len(found), sorted({a for a, _ in starts}), sorted({label for _, label in starts}), sorted(matches)
+
+    def _agreed(self, ballots: list[tuple[int, bytes]], agree: int) -> Iterator[tuple[int, int]]:
+        """(first, last) alignment of each run of votes within the drift that ``agree`` different words or more cast."""
+        group: list[tuple[int, bytes]] = []
+        for vote in [*ballots, None]:
+            if group and (vote is None or vote[0] - group[0][0] > self.drift):
+                if len({w for _, w in group}) >= agree:
+                    yield group[0][0], group[-1][0]
+                group = []
+            if vote:
+                group.append(vote)
 
     def _verify(self, t: Template, found: list[bytes], begin: int, end: int) -> tuple[str, int, int, float] | None:
         span = found[begin : end + self.drift]

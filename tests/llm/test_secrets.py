@@ -1,3 +1,5 @@
+import math
+import random
 import re
 import secrets as generator
 
@@ -36,13 +38,32 @@ def test_base_spans(spark):
         assert set(brute(r.text)) <= set(spans(r.spans))
 
 
-def test_random_runs_are_found_and_words_are_not(spark):
-    keys = [generator.token_urlsafe(30).replace("=", "") for _ in range(60)]
-    plain = ["aaaaaaaaaaaaaaaaaaaaaaaaaa1", "abcabcabcabcabcabcabcabcabc1", "internationalization2internationalization", "0000000000000000000000000000000a", "abababababababababababababababab12"]
-    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys + plain)], "doc_id int, text string")
+PROSE = "the committee that meets on every second morning decided to postpone its report about the river until spring has come"
+
+
+def words_of(rng, n):
+    return [rng.choice(PROSE.split()) for _ in range(n)]
+
+
+def test_false_secrets_are_controlled(spark):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice(secrets.BASE64[:64]) for _ in range(n))
+    name = lambda n: "".join(x.capitalize() for x in words_of(rng, 30))[:n]
+    around = lambda x: " ".join([*words_of(rng, 40), x, *words_of(rng, 40)])
+    sizes = [rng.choice([20, 24, 32, 43, 64]) for _ in range(500)]
+    rows = [(i, around(key(n)), n) for i, n in enumerate(sizes)] + [(1000 + i, around(name(n)), n) for i, n in enumerate(sizes)]
+    rows += [(2000, "thisIsAVeryLongVariableName123", 0), (2001, "a" * 26 + "1", 0), (2002, "abcabcabcabcabcabcabcabcabc1", 0), (2003, "ab" * 16 + "12", 0), (2004, "-" * 70, 0)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n int")
     flagged = {r.doc_id for r in secrets.scan_secrets(df).collect() if any(s["kind"] == "random" for s in r.spans)}
-    usual = [i for i, k in enumerate(keys) if "--" not in k]
-    assert len(flagged & set(usual)) >= 0.85 * len(usual) and not flagged & set(range(60, 65))
+    true = {i for i in flagged if i < 1000}
+    assert len(flagged - true) <= 0.1 * len(flagged) and not flagged & set(range(2001, 2005))
+    long = [i for i, n in enumerate(sizes) if n >= 40]
+    assert len(true & set(long)) >= 0.9 * len(long) and len(true) >= 250
+
+
+def test_decoys(spark):
+    df = spark.createDataFrame([("one two 3 three0X four five. Six", 10, 16), ("short 0123456789", 6, 16)], "t string, a int, e int")
+    assert [r[0] for r in df.select(secrets.decoy(F.col("t"), F.col("a"), F.col("e"))).collect()] == ["OneTwo", None]
 
 
 def test_p_values_of_random_values_are_uniform_enough(spark):
@@ -51,10 +72,15 @@ def test_p_values_of_random_values_are_uniform_enough(spark):
     assert small <= 16
 
 
-def test_threshold(spark):
-    df = spark.createDataFrame([(x,) for x in [0.1, 0.5, 1.0, 40.0, 60.0]], "log_p double")
-    assert 1.0 < secrets.threshold(df) <= 40.0
-    assert secrets.threshold(df.limit(0)) == float("inf") and secrets.threshold(df.where("log_p < 2")) == float("inf")
+def test_limits(spark):
+    per = 1 / secrets.BIN_WIDTH
+    rows = [(0, int(x * per), int(y * per)) for x, y in [(0.1, 30.0), (0.5, 31.0), (1.0, 32.0), (40.0, 33.0), (60.0, 2.0)]] + [(1, 5, None), (1, 500, None)]
+    df = spark.createDataFrame(rows, "size int, bin int, decoy int")
+    most = secrets.limits(df, 0.05)
+    assert per < most[0] <= 2 * per + 1  # the decoy at 2 would make up a sixth of what is below
+    assert secrets.limits(df.where("size = 1"), 0.05)[1] == secrets.limits(df.limit(0), 0.05)[1] == math.ceil(-math.log(0.05) * per)
+    # Classes are controlled by themselves; one without decoys takes those of all.
+    assert most[1] == 2 * per and 5 < most[1] <= 500
 
 
 def test_messy(spark, messy, texts):
