@@ -17,16 +17,18 @@ ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            found = own.get()
-        else:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests, one machine) gets a new local folder; on a cluster it is an error, since executors
+    don't see each other's disks.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
+    return (found or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -86,6 +88,12 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return whole
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if its scan has fewer partitions than there are cores (a small file in one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI; a bare path is local."""
     from pyarrow import fs

@@ -1,9 +1,10 @@
 """Media columns: archives of PNG members in a shared folder, read through a Spark data source by byte ranges.
 
 ``write_archives`` stores one payload per row as an 8-bit RGB image of 64 pixels a line (192 bytes) in uncompressed ZIP
-archives of bounded size, one series of archives per input partition. ``archives`` reads such a folder: the plan lists
-the archives and cuts them into byte ranges; a range owns the members whose header begins in it. Each member is read by
-its offset, verified and, if that fails, read again by itself from a newly opened file.
+archives of bounded size, one series of archives per input partition, and a manifest of the archives that were committed.
+``archives`` reads such a folder: the plan cuts the archives of the manifest (or all of the folder) into byte ranges; a range owns
+the members whose header begins in it. Each member is read by its offset, verified and, if that fails, read again by
+itself from a newly opened file.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import open_fs, released, scratch, small_batches
+from .common import append_columns, materialize, open_fs, released, scratch, small_batches
 
 LINE = 192
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
+MAX_PARTITIONS = 20_000  # beyond, a partition has more than RANGE_BYTES
 BATCH_BYTES = 2 << 20
 ATTEMPTS = 4
 SCHEMA = "name string, key long, n_bytes long, archive string, offset long, media binary, payload binary"
@@ -77,96 +78,110 @@ def feature(payload: bytes) -> str:
     return f"lines={len(samples) // LINE};mean={samples.mean():.4f};std={samples.std():.4f};bits={-(some * np.log2(some)).sum():.4f};last={samples[-LINE:].mean():.4f}"
 
 
-def write_archives(df: DataFrame, folder: str, key_col: str, text_col: str) -> int:
-    """Write the texts of ``df`` as media members into archives below ``folder`` (a URI all executors see); their number.
+def write_archives(df: DataFrame, folder: str, key_col: str, text_col: str) -> DataFrame:
+    """Write the texts of ``df`` as media members into archives below ``folder`` (a URI all executors see).
 
+    Returns the manifest, rows (archive, bytes, members) that are written and read back. Every attempt at a task gives its archives names of their own
+    and only those of the successful ones are in the manifest, so neither a repeated task nor what lay in the folder before is read.
     Keys are integers; null ones stay null. Null texts are stored as empty payloads padded to one line. Repeated rows give members of
-    their own. An archive appears under its name only when it is complete; the name is that of the task's partition, so a task that runs
-    again replaces what it wrote before. Other columns are not read. An empty table writes no archive.
+    their own. Other columns are not read. An empty table writes no archive.
     """
+    from pyspark.sql import types as T
+
+    if not isinstance(df.select(key_col).schema[0].dataType, T.IntegralType):
+        raise ValueError("keys of media members are integers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        from pyarrow import fs as pafs
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         fs, root = open_fs(folder)
-        out, archive, held, made, number = None, None, "", 0, 0
+        out, archive, name, members, done = None, None, "", 0, []
 
         def close() -> None:
-            nonlocal out, archive, number
+            nonlocal out, archive, members
             if archive is not None:
                 archive.close()
+                done.append((name, out.tell(), members))
                 out.close()
-                name = f"{root}/part-{part:06d}-{number:05d}.zip"
-                try:
-                    fs.move(held, name)
-                except OSError:  # some stores don't replace; another attempt has written the same bytes
-                    if fs.get_file_info(name).type == pafs.FileType.NotFound:
-                        raise
-                    fs.delete_file(held)
-                out, archive, number = None, None, number + 1
+                out, archive, members = None, None, 0
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode()
                 if archive is None:
-                    held = f"{root}/_partial-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(held)
+                    name = f"{root}/{uuid.uuid4().hex}.zip"
+                    out = fs.open_output_stream(name)
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                member = zipfile.ZipInfo(f"{made:09d}.{'null' if key is None else key}.{len(raw)}.png")
+                member = zipfile.ZipInfo(f"{members:09d}.{'null' if key is None else key}.{len(raw)}.png")
                 archive.writestr(member, to_png(pad(raw)))
-                made += 1
+                members += 1
                 if out.tell() >= ARCHIVE_BYTES:
                     close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], names=["n"])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "bytes", "members"])
 
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
-    return small_batches(df.select(key_col, text_col)).mapInArrow(released(run), "n long").agg(F.sum("n")).first()[0] or 0
+    return materialize(small_batches(df.select(key_col, text_col)).mapInArrow(released(run), "archive string, bytes long, members long"), "manifest")
 
 
 @dataclass
-class ByteRange(InputPartition):
-    archive: str
-    start: int
-    end: int
+class ByteRanges(InputPartition):
+    """Ranges (archive, start, end) that one task reads."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.folder, self.manifest = options["path"], options.get("manifest")
+        self.range_bytes, self.most = int(options.get("rangebytes", RANGE_BYTES)), int(options.get("maxpartitions", MAX_PARTITIONS))
+
+    def _files(self) -> list[tuple[str, int]]:
+        if self.manifest:
+            from pyarrow import dataset
 
-    def partitions(self) -> list[ByteRange]:
+            fs, root = open_fs(self.manifest)
+            rows = dataset.dataset(root, filesystem=fs, format="parquet").to_table(columns=["archive", "bytes"])
+            return sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True))
         from pyarrow import fs as pafs
 
         fs, root = open_fs(self.folder)
-        files = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".zip")]
-        step = self.range_bytes
-        ranges = [ByteRange(f.path, at, min(at + step, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, step)]
-        return ranges or [ByteRange("", 0, 0)]
-
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not part.archive:
-            return
+        return sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".zip"))
+
+    def partitions(self) -> list[ByteRanges]:
+        files = self._files()
+        step = max(self.range_bytes, -(-sum(size for _, size in files) // self.most))
+        out, held, room = [], [], step
+        for path, size in files:
+            at = 0
+            while at < size:
+                end = min(size, at + room)
+                held.append((path, at, end))
+                room -= end - at
+                at = end
+                if not room:
+                    out.append(ByteRanges(held))
+                    held, room = [], step
+        return [*out, ByteRanges(held)] if held or not out else out
+
+    def read(self, part: ByteRanges) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(self.folder)
-        with fs.open_input_file(part.archive) as f, zipfile.ZipFile(f) as archive:
-            members = [m for m in archive.infolist() if part.start <= m.header_offset < part.end]
-            rows, held = [], 0
-            for member in members:
-                media, payload = read_member(fs, part.archive, f, member)
-                _, key, n, _ = member.filename.split(".")
-                rows.append((member.filename, None if key == "null" else int(key), int(n), part.archive, member.header_offset, media, payload))
-                held += len(media) + len(payload)
-                if held >= BATCH_BYTES or len(rows) >= 256:
+        for path, start, end in part.ranges:
+            with fs.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
+                members = [m for m in archive.infolist() if start <= m.header_offset < end]
+                rows, held = [], 0
+                for member in members:
+                    media, payload = read_member(fs, path, f, member)
+                    _, key, n, _ = member.filename.split(".")
+                    rows.append((member.filename, None if key == "null" else int(key), int(n), path, member.header_offset, media, payload))
+                    held += len(media) + len(payload)
+                    if held >= BATCH_BYTES or len(rows) >= 256:
+                        yield _batch(rows)
+                        rows, held = [], 0
+                if rows:
                     yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -203,7 +218,9 @@ def _member_at(f, member: zipfile.ZipInfo) -> tuple[bytes, bytes]:
 
 
 class ArchiveSource(DataSource):
-    """Options: ``path``, the folder; ``rangeBytes``, the most bytes of an archive that one partition reads."""
+    """Options: ``path``, the folder; ``manifest``, a parquet table (archive, bytes) of the archives to read, without it all of
+    the folder; ``rangeBytes``, the bytes that one partition reads, more where partitions would number over ``maxPartitions``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -216,28 +233,31 @@ class ArchiveSource(DataSource):
         return ArchiveReader({k.lower(): v for k, v in dict(self.options).items()})
 
 
-def archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """One row for each member of the archives in ``folder``; an empty or missing folder gives no rows."""
+def archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, manifest: DataFrame | None = None) -> DataFrame:
+    """One row for each member of the archives in ``folder``, or of those in ``manifest``; an empty or missing folder gives no rows."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("media_archives").option("rangeBytes", range_bytes).load(folder)
+    reader = spark.read.format("media_archives").option("rangeBytes", range_bytes)
+    return (reader.option("manifest", manifest.scratch_path) if manifest is not None else reader).load(folder)
 
 
 def media_columns(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Store the texts of ``df`` and read them back as media rows (``SCHEMA``) from a new folder or ``folder``."""
-    spark = df.sparkSession
-    folder = folder or scratch(spark, "media")
-    write_archives(df, folder, key_col, text_col)
-    return archives(spark, folder)
+    """Store the texts of ``df`` and read them back as media rows (``SCHEMA``), from a new folder or ``folder``.
+
+    A row for each row of ``df``, whatever lies in the folder; null keys and null texts as ``write_archives`` has them.
+    """
+    folder = folder or scratch(df.sparkSession, "media")
+    return archives(df.sparkSession, folder, manifest=write_archives(df, folder, key_col, text_col))
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Append ``feature`` (string), and ``tail_crc32`` (long), the CRC-32 of the payload's last 16 bytes."""
-    from pyspark.sql import types as T
+    """Append ``feature`` (string), and ``tail_crc32`` (long), the CRC-32 of the payload's last 16 bytes.
 
-    from .common import append_columns
+    Both are null for a null or empty payload; columns of these names are replaced, others pass through, rows are judged each.
+    """
+    from pyspark.sql import types as T
 
     def compute(payloads: pa.Array) -> list[pa.Array]:
         raw = [p.as_py() for p in payloads]
-        return [pa.array([feature(p) for p in raw], pa.string()), pa.array([zlib.crc32(p[-16:]) for p in raw], pa.int64())]
+        return [pa.array([feature(p) if p else None for p in raw], pa.string()), pa.array([zlib.crc32(p[-16:]) if p else None for p in raw], pa.int64())]
 
     return append_columns(media, [T.StructField("feature", T.StringType()), T.StructField("tail_crc32", T.LongType())], compute, ["payload"], rows=256)

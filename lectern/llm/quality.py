@@ -139,10 +139,12 @@ def _scores(x: np.ndarray, model: Model | None) -> pa.Array:
 
 
 def score(stats: DataFrame, model: Model | None, out_col: str = "score", stats_col: str = "stats") -> DataFrame:
-    """Append ``out_col`` (double, 0 to 1); without a model every score is 0.5."""
+    """Append ``out_col`` (double, 0 to 1); without a model every score is 0.5. Null statistics are scored as those of an empty text."""
 
     def compute(stats: pa.Array) -> list[pa.Array]:
-        return [_scores(stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)), model)]
+        x = np.zeros((len(stats), len(NAMES)))
+        x[stats.is_valid().to_numpy(zero_copy_only=False)] = stats.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+        return [_scores(x, model)]
 
     return append_columns(stats, [T.StructField(out_col, T.DoubleType())], compute, [stats_col], rows=4096)
 

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, decontam, jaccard, licenses, lines, media, quality, secrets, suffix_dedup, token_counts
+from .common import spread
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-RANKS_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-END_OF_TEXT = 50256  # free in both vocabularies
+END_OF_TEXT = 50256  # beyond the vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS_MULTI, public_tokenizers.PATTERN, END_OF_TEXT)
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, END_OF_TEXT)
     return counts.select(F.col("key").alias("doc_id"), "n_tokens")
 
 

@@ -2,7 +2,8 @@
 
 A token file holds little-endian 16- or 32-bit ids, each document's followed by an end-of-document id. The scan cuts the
 files into blocks, finds the separators of a block with one vectorised comparison, and stitches the blocks of a file with
-prefix scans (windows): the separators before a block give its first document's number, the last of them where it began.
+prefix scans (windows) over a number and a place for each block: the separators before a block give its first document's
+number, the last of them where it began.
 """
 
 from __future__ import annotations
@@ -21,13 +22,21 @@ from .common import materialize, open_fs, released, scratch, small_batches
 BLOCK_TOKENS = 1 << 20
 
 
+def width_for(path: str, eod: int) -> int:
+    """The bytes of an id, 2 or 4, for a vocabulary and an end-of-document id, which must not be a token's."""
+    n = len(bpe.read_ranks(path))
+    if not n <= eod < 1 << 32:
+        raise ValueError(f"the end-of-document id {eod} must lie beyond the {n} ids of the vocabulary, and below 2 ** 32")
+    return 2 if eod < 1 << 16 else 4
+
+
 def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, eod: int, key_col: str, text_col: str) -> DataFrame:
     """Encode every whole text into one token file per input partition; rows (file, ordinal, key), written and read back.
 
     Null and empty texts are a lone separator. Each attempt at a task writes a file of its own and only files named in
     the returned rows count, so a lost or repeated task leaves nothing that is read. Other columns are not read.
     """
-    kind = "<u2" if eod < 1 << 16 else "<u4"
+    kind = f"<u{width_for(path, eod)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -81,21 +90,26 @@ def scan(files: DataFrame, folder: str, eod: int, block_tokens: int = BLOCK_TOKE
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["file", "at", "ends"])
 
     blocks = files.select("file").distinct().mapInArrow(cut, "file string, at long, size long")
-    found = blocks.repartition("file", "at").mapInArrow(search, "file string, at long, ends array<long>")
+    found = materialize(blocks.repartition("file", "at").mapInArrow(search, "file string, at long, ends array<long>"), "ends")
     before = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    stitched = found.select(
-        "file", "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("first"),
-        (F.coalesce(F.last(last, True).over(before), F.lit(-1)) + 1).alias("begin"),
-    )
+    # A file of any size is one task here, of two numbers a block; the places of the separators stay where they are.
+    each_block = found.select("file", "at", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
+    scanned = each_block.select(
+        "file", "at",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"),
+        (F.coalesce(F.last("last", True).over(before), F.lit(-1)) + 1).alias("begin"),
+    )
+    stitched = found.join(scanned, ["file", "at"])
     each = stitched.select("file", "first", "begin", "ends", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("begin")).otherwise(F.get("ends", F.col("i") - 1) + 1)
     return each.select("file", (F.col("first") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
 
 
 def count_tokens(df: DataFrame, path: str, pattern: str, eod: int, key_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows (key, n_tokens) for each row of ``df``: texts are written as token files and their separators counted."""
+    """Rows (key, n_tokens, ...) for each row of ``df``: texts are written as token files and their separators counted.
+
+    Null and empty texts have no tokens; repeated rows are counted each; null keys stay null; an empty table gives an empty one.
+    """
     folder = scratch(df.sparkSession, "tokens")
     index = write_token_files(df, folder, path, pattern, eod, key_col, text_col)
     counts = scan(index, folder, eod, block_tokens)

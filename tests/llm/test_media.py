@@ -22,8 +22,10 @@ def test_png_round_trip():
 @pytest.mark.parametrize("range_bytes", [700, 1 << 24])
 def test_texts_come_back(spark, messy, texts, tmp_path, range_bytes):
     folder = f"file://{tmp_path}/a"
-    assert media.write_archives(messy.repartition(3), folder, "doc_id", "text") == len(texts)
+    manifest = media.write_archives(messy.repartition(3), folder, "doc_id", "text")
+    assert sum(r.members for r in manifest.collect()) == len(texts)
     rows = media.features(media.archives(spark, folder, range_bytes)).collect()
+    assert media.archives(spark, folder, range_bytes, manifest).count() == len(rows)
     got = sorted((str(r.key), r.n_bytes, bytes(r.payload)) for r in rows)
     want = sorted((str(k), len((t or "").encode()), media.pad((t or "").encode())) for k, t, _ in texts)
     assert got == want
@@ -39,16 +41,35 @@ def test_empty(spark, messy, tmp_path):
     assert media.archives(spark, f"file://{tmp_path}/nothing").count() == 0
 
 
+def test_a_used_folder_gives_only_the_rows_written(spark, tmp_path):
+    folder = f"file://{tmp_path}/b"
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    assert media.media_columns(df, folder=folder).count() == 50
+    got = media.media_columns(df.where("doc_id >= 48").unionByName(df.where("doc_id = 3")), folder=folder).collect()
+    assert sorted(r.key for r in got) == [3, 48, 49] and media.archives(spark, folder).count() == 53
+
+
+def test_features_of_null_payloads_and_keys_that_are_no_integers(spark, messy):
+    df = spark.createDataFrame([(1, None, "x"), (2, bytearray(b""), "y"), (3, bytearray(b" " * 192), "z")], "key long, payload binary, Feature string")
+    rows = {r.key: (r.feature, r.tail_crc32) for r in media.features(df).collect()}
+    assert rows[1] == rows[2] == (None, None) and rows[3][1] == zlib.crc32(b" " * 16) and rows[3][0].startswith("lines=1;")
+    with pytest.raises(ValueError):
+        media.write_archives(messy, "file:///nowhere", "source", "text")
+
+
 def test_ranges_cover_every_byte_once(tmp_path):
     for n in range(3):
         with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
             z.writestr("a", b"x" * 1000 * n)
     (tmp_path / "_partial-1").write_bytes(b"junk")
-    parts = media.ArchiveReader({"path": f"file://{tmp_path}", "rangebytes": 300}).partitions()
-    assert {p.archive.rsplit("/", 1)[1] for p in parts} == {"0.zip", "1.zip", "2.zip"}
-    for n in range(3):
-        own = sorted((p.start, p.end) for p in parts if p.archive.endswith(f"{n}.zip"))
-        assert own[0][0] == 0 and own[-1][1] == (tmp_path / f"{n}.zip").stat().st_size and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    for most in (1000, 2, 1):
+        parts = media.ArchiveReader({"path": f"file://{tmp_path}", "rangebytes": 300, "maxpartitions": most}).partitions()
+        assert len(parts) <= most and (most < 1000 or all(sum(e - a for _, a, e in p.ranges) <= 300 for p in parts))
+        ranges = [r for p in parts for r in p.ranges]
+        assert {r[0].rsplit("/", 1)[1] for r in ranges} == {"0.zip", "1.zip", "2.zip"}
+        for n in range(3):
+            own = sorted((a, e) for p, a, e in ranges if p.endswith(f"{n}.zip"))
+            assert own[0][0] == 0 and own[-1][1] == (tmp_path / f"{n}.zip").stat().st_size and all(a[1] == b[0] for a, b in zip(own, own[1:]))
 
 
 def test_members_are_tried_again_by_themselves(tmp_path, monkeypatch):

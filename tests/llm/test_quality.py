@@ -57,3 +57,11 @@ def test_messy(spark, messy, texts):
     assert {r.score for r in quality.classify(messy, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(messy.limit(0), labels).count() == 0
     assert quality.statistics("") == [0.0] * len(quality.NAMES)
+
+
+def test_null_statistics_are_those_of_an_empty_text(spark):
+    size = len(quality.NAMES)
+    model = quality.fit(np.array([5.0, 5.0]), np.ones((2, size)), np.stack([np.eye(size) * 9] * 2))
+    df = spark.createDataFrame([(1, None, "x"), (2, [0.0] * size, "y"), (3, [1.0] * size, None)], "doc_id long, stats array<double>, Score string")
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert got[1] == got[2] and got.keys() == {1, 2, 3} and {r.score for r in quality.score(df, None).collect()} == {0.5}

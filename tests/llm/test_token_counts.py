@@ -37,3 +37,11 @@ def test_documents(spark, messy, texts):
         got = sorted(str((r.key, r.n_tokens)) for r in token_counts.count_tokens(messy.repartition(3), PATH, P.PATTERN, 50256, block_tokens=block).collect())
         assert got == sorted(str((k, len(codec.encode(t or "")) // 4)) for k, t, _ in texts)
     assert token_counts.count_tokens(messy.limit(0), PATH, P.PATTERN, 50256).count() == 0
+
+
+def test_ids_fit_and_the_separator_is_no_token():
+    n = len(bpe.read_ranks(PATH))
+    assert token_counts.width_for(PATH, n) == 2 and token_counts.width_for(PATH, 70_000) == 4
+    for eod in (0, n - 1, 1 << 32):
+        with pytest.raises(ValueError):
+            token_counts.width_for(PATH, eod)
