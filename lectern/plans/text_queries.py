@@ -116,8 +116,8 @@ def sentences(spark, sf):
 
 # --- structure: documents have none, so headings, a table and a list are put around their text ---
 
-MARKDOWN_SQL = r"""md AS (SELECT doc_id, '# Source ' || source || chr(10) || chr(10) || text || chr(10) || chr(10) || '### Facts' || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| lang | ' || lang
-  || ' |' || chr(10) || chr(10) || '- id ' || doc_id || chr(10) || '- chars ' || n_chars || chr(10) || '## End' || chr(10) || 'Done. All of it.' AS md FROM documents)"""
+MARKDOWN_SQL = r"""md AS (SELECT doc_id, 'Lead in.' || chr(10) || chr(10) || '# Source ' || source || chr(10) || chr(10) || text || chr(10) || chr(10) || '### Facts' || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| lang | ' || lang
+  || ' |' || chr(10) || chr(10) || '- id ' || doc_id || chr(10) || '- chars ' || n_chars || chr(10) || '## End' || chr(10) || 'Done. All of it.' || chr(10) || chr(10) || 'Really done.' || chr(10) || '#### Deeper' || chr(10) || 'Yes.' AS md FROM documents)"""
 STRUCTURE_SQL = rf"""{MARKDOWN_SQL},
 line_lists AS (SELECT doc_id, string_split(md, chr(10)) AS l FROM md),
 raw_lines AS (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS line, unnest(l) AS raw FROM line_lists),
@@ -138,8 +138,8 @@ blocks AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1):
 
 
 def markdown(spark, sf):
-    facts = F.concat(F.lit("\n\n### Facts\n| k | v |\n|---|---|\n| lang | "), "lang", F.lit(" |\n\n- id "), F.col("doc_id").cast("string"), F.lit("\n- chars "), F.col("n_chars").cast("string"), F.lit("\n## End\nDone. All of it."))
-    return documents(spark, sf).select("doc_id", F.concat(F.lit("# Source "), "source", F.lit("\n\n"), "text", facts).alias("text"))
+    facts = F.concat(F.lit("\n\n### Facts\n| k | v |\n|---|---|\n| lang | "), "lang", F.lit(" |\n\n- id "), F.col("doc_id").cast("string"), F.lit("\n- chars "), F.col("n_chars").cast("string"), F.lit("\n## End\nDone. All of it.\n\nReally done.\n#### Deeper\nYes."))
+    return documents(spark, sf).select("doc_id", F.concat(F.lit("Lead in.\n\n# Source "), "source", F.lit("\n\n"), "text", facts).alias("text"))
 
 
 def _blocks(spark, sf):
@@ -234,27 +234,77 @@ def chunk_index(spark, sf):
     return rows.select("doc_id", "block", (F.row_number().over(W.partitionBy("doc_id").orderBy("line_number")) - 1).cast("long").alias("chunk_index"))
 
 
-MERGE_SQL = f"""WITH {STRUCTURE_SQL}, rendered AS (SELECT doc_id, block, node_type, text FROM blocks WHERE node_type <> 'HEADING'),
-flags AS (SELECT *, CASE WHEN node_type = 'PARAGRAPH' AND lag(node_type) OVER w = 'PARAGRAPH' AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 50 THEN 0 ELSE 1 END AS fresh
-  FROM rendered WINDOW w AS (PARTITION BY doc_id ORDER BY block)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY block) AS run FROM flags)
-SELECT doc_id, min(block) AS block, arg_min(node_type, block) AS node_type, string_agg(text, ' ' ORDER BY block) AS text, count(*)::BIGINT AS n_merged FROM numbered GROUP BY doc_id, run"""
+def merge_sql(rows: str, order: str, others: str) -> str:
+    """CTEs that end in merged: ``rows`` (doc_id, order columns, node_type, text, content, others) with small prose folded into prose before it."""
+    first = ", ".join(f"arg_min({c}, pos) AS {c}" for c in f"{order}, {others}".split(", "))
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS pos FROM {rows}),
+folds AS (SELECT *, CASE WHEN node_type = 'PARAGRAPH' AND lag(node_type) OVER w = 'PARAGRAPH' AND len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) < 50 THEN 0 ELSE 1 END AS fresh
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS merge_run FROM folds),
+merged AS (SELECT doc_id, {first}, string_agg(CASE WHEN fresh = 1 THEN text ELSE content END, ' ' ORDER BY pos) AS text, count(*)::BIGINT AS n_merged FROM numbered GROUP BY doc_id, merge_run)"""
 
 
-@query("merge_undersized", MERGE_SQL)
+RENDER_SQL = """CASE WHEN path = '' THEN {body} WHEN node_type = 'TABLE' THEN 'Context: ' || path || chr(10) || 'Table Data:' || chr(10) || {body}
+  WHEN node_type = 'LIST' THEN 'Context: ' || path || chr(10) || 'Content:' || chr(10) || {body} ELSE 'Context: ' || path || chr(10) || 'Content: ' || {body} END"""
+
+
+@query("merge_undersized", f"WITH {STRUCTURE_SQL}, rendered AS (SELECT doc_id, block, node_type, {RENDER_SQL.format(body='text')} AS text, text AS content FROM blocks WHERE node_type <> 'HEADING'), {merge_sql('rendered', 'block', 'node_type')} SELECT doc_id, block, node_type, text, n_merged FROM merged")
 def merge_undersized(spark, sf):
-    rows = _blocks(spark, sf).where("node_type <> 'HEADING'").select("doc_id", "block", "node_type", "text", F.lit(None).cast("array<double>").alias("embeddings"))
+    rows = _blocks(spark, sf).where("node_type <> 'HEADING'")
+    kind, path, body = F.col("node_type"), F.col("path"), F.col("text")
+    text = F.when(kind == "TABLE", chunking.render(path, body, "TABLE")).when(kind == "LIST", chunking.render(path, body, "LIST")).otherwise(chunking.render(path, body, "PARAGRAPH"))
+    rows = rows.select("doc_id", "block", "node_type", text.alias("text"), F.lit(None).cast("array<double>").alias("embeddings"))
     return chunking.merge_undersized(rows, "doc_id", ["block"]).select("doc_id", "block", "node_type", "text", "n_merged")
 
 
-@query("chunk_pipeline")
+def pipeline_sql(pooled: bool) -> str:
+    """All steps of the chunk pipeline; ``vector_sum`` is the sum of a vector's elements, each times its place."""
+    from lectern.plans.vector_queries import hash_sql
+
+    token = r"regexp_extract_all({0}, '(\s*\S+|\s+)', 1)"
+    words = r"len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w: w <> ''))"
+    sql = rf"""WITH RECURSIVE {STRUCTURE_SQL},
+prose AS (SELECT doc_id, block, text FROM blocks WHERE node_type = 'PARAGRAPH'), {SENTENCES_SQL.format(key='doc_id, block', text='text', source='prose')},
+{hash_sql('sentence_rows', 'doc_id, block, idx', 'sentence', 'sv')},
+sized AS (SELECT doc_id, block, idx, sentence, {words} AS words, count(*) OVER (PARTITION BY doc_id, block) AS n FROM sentence_rows),
+dense AS (SELECT s.doc_id, s.block, s.idx, s.n, d.b, coalesce(v.x, 0) AS x FROM sized s CROSS JOIN (SELECT unnest(range(64)) AS b) d LEFT JOIN sv_unit v ON v.doc_id = s.doc_id AND v.block = s.block AND v.idx = s.idx AND v.b = d.b WHERE s.n >= 6),
+beside AS (SELECT doc_id, block, idx, n, sum(x) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l, sum(x) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS r FROM dense WINDOW w AS (PARTITION BY doc_id, block, b ORDER BY idx)),
+dots AS (SELECT doc_id, block, idx, round(1.0 - sum(l * r) / (CASE WHEN sum(l * l) = 0 THEN 1 ELSE sqrt(sum(l * l)) END * CASE WHEN sum(r * r) = 0 THEN 1 ELSE sqrt(sum(r * r)) END), 9) AS distance FROM beside WHERE idx >= 2 AND idx < n - 3 GROUP BY ALL),
+bounds AS (SELECT doc_id, block, idx, distance > round(avg(distance) OVER g + 0.8 * stddev_pop(distance) OVER g, 9) AS far FROM dots WINDOW g AS (PARTITION BY doc_id, block)),
+spoken AS (SELECT s.doc_id, s.block, s.idx, s.sentence, s.words, coalesce(b.far, false) AS is_boundary FROM sized s LEFT JOIN bounds b USING (doc_id, block, idx)),
+fold AS (SELECT doc_id, block, idx, 0::BIGINT AS piece, 1::BIGINT AS n, words AS w, is_boundary AND words >= 50 AS cut FROM spoken WHERE idx = 0
+  UNION ALL SELECT s.doc_id, s.block, s.idx, f.piece + CASE WHEN f.cut THEN 1 ELSE 0 END, CASE WHEN f.cut THEN 1 ELSE f.n + 1 END, CASE WHEN f.cut THEN s.words ELSE f.w + s.words END,
+    s.is_boundary AND (CASE WHEN f.cut THEN 1 ELSE f.n + 1 END >= 2 OR CASE WHEN f.cut THEN s.words ELSE f.w + s.words END >= 50) FROM spoken s JOIN fold f ON s.doc_id = f.doc_id AND s.block = f.block AND s.idx = f.idx + 1),
+flushed AS (SELECT doc_id, block, piece, string_agg(sentence, ' ' ORDER BY idx) AS body FROM fold JOIN sized USING (doc_id, block, idx) GROUP BY ALL),
+pool_sums AS (SELECT doc_id, block, piece, b, sum(x) AS x FROM fold JOIN sv_unit USING (doc_id, block, idx) GROUP BY ALL),
+pooled AS (SELECT doc_id, block, piece, sum((b + 1) * x) / sqrt(sum(x * x)) AS pool_sum FROM pool_sums GROUP BY ALL),
+bodies AS (SELECT doc_id, block, piece, body FROM flushed UNION ALL SELECT doc_id, block, 0, text FROM blocks WHERE node_type IN ('LIST', 'TABLE')),
+about AS (SELECT o.doc_id, o.block, piece, body, node_type, path, line_number, row_count, coalesce(pool_sum, 0) AS pool_sum, {token.format('body')} AS t FROM bodies o JOIN blocks USING (doc_id, block) LEFT JOIN pooled USING (doc_id, block, piece)),
+cuts AS (SELECT *, unnest(generate_series(0, CASE WHEN len(t) <= 400 OR node_type = 'TABLE' THEN 0 ELSE CAST(ceil((len(t) - 400) / 300.0) AS BIGINT) END)) AS sub FROM about),
+cut_bodies AS (SELECT * EXCLUDE (body, t), CASE WHEN len(t) <= 400 OR node_type = 'TABLE' THEN body ELSE array_to_string(t[sub * 300 + 1 : sub * 300 + 400], '') END AS body FROM cuts),
+rendered AS (SELECT *, {RENDER_SQL.format(body='body')} AS text, CASE WHEN path = '' THEN body ELSE {_TRIM.format('body')} END AS content, CASE WHEN node_type <> 'TABLE' THEN len({token.format('body')}) END AS own_tokens FROM cut_bodies),
+{merge_sql('rendered', 'block, piece, sub', 'node_type, path, line_number, row_count, pool_sum, own_tokens')},
+chunk_rows AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY block, piece, sub) - 1)::BIGINT AS chunk_index, CASE WHEN n_merged > 1 THEN len({token.format('text')}) ELSE own_tokens END::BIGINT AS token_count FROM merged),
+{hash_sql('chunk_rows', 'doc_id, chunk_index', 'text', 'cv')},
+sums AS (SELECT doc_id, chunk_index, sum((b + 1) * x) AS text_sum FROM cv_unit GROUP BY ALL)
+SELECT doc_id, 'chk_' || substr(sha256(doc_id || ':' || chunk_index), 1, 16) AS chunk_id, chunk_index, node_type, path, line_number, row_count, token_count, text AS text_data, round({{vector}}, 5) AS vector_sum FROM chunk_rows LEFT JOIN sums USING (doc_id, chunk_index)"""
+    return sql.replace("{vector}", "CASE WHEN n_merged = 1 AND node_type = 'PARAGRAPH' THEN pool_sum ELSE coalesce(text_sum, 0) END" if pooled else "coalesce(text_sum, 0)")
+
+
+def _pipeline(spark, sf, strategy):
+    from lectern.config import Settings
+
+    made = chunking.chunk_documents(markdown(spark, sf), Settings(chunk_embedding_strategy=strategy), key="doc_id")
+    total = F.aggregate(F.transform("embeddings", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    longs = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "line_number", "row_count", "token_count")]
+    return made.select("doc_id", "chunk_id", "node_type", F.array_join("structural_path", " > ").alias("path"), *longs, "text_data", F.round(total, 5).alias("vector_sum"))
+
+
+@query("chunk_pipeline", pipeline_sql(False))
 def chunk_pipeline(spark, sf):
-    """The whole pipeline; its steps have SQL of their own."""
-    return chunking.chunk_documents(markdown(spark, sf), key="doc_id")
+    return _pipeline(spark, sf, "hybrid")
 
 
-@query("chunk_pipeline_vector_math")
+@query("chunk_pipeline_vector_math", pipeline_sql(True))
 def chunk_pipeline_vector_math(spark, sf):
-    from lectern.config import Settings
-
-    return chunking.chunk_documents(markdown(spark, sf), Settings(chunk_embedding_strategy="vector_math"), key="doc_id")
+    return _pipeline(spark, sf, "vector_math")
