@@ -29,12 +29,6 @@ def sentences_of(blocks_df: DataFrame, key: str = "file_id") -> DataFrame:
     return prose.select(key, "block", F.posexplode_outer(TX.sentences(F.col("text"))).alias("idx", "sentence")).where("idx IS NOT NULL")
 
 
-def _windows(df: DataFrame, s: Settings) -> DataFrame:
-    """Explode column ``body`` into token windows ``sub`` / ``body``."""
-    cut = df.withColumn("_w", token_windows(F.col("body"), s.max_tokens, s.overlap_tokens))
-    return cut.select(*[c for c in df.columns if c != "body"], F.posexplode_outer("_w").alias("sub", "body")).where("sub IS NOT NULL")
-
-
 def merge_undersized(chunks: DataFrame, key: str, order: list[str], min_words: int = 50) -> DataFrame:
     """Fold prose chunks of fewer than ``min_words`` words of content into the prose chunk before them.
 
@@ -68,28 +62,30 @@ def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, provider: Provider |
     """
     provider = provider or Provider("hashing", dim=s.dim)
     pooled = s.chunk_embedding_strategy == "vector_math"
-    found = blocks(docs.where(F.col(text_col).isNotNull()), key, text_col)
-    about = found.select(key, "block", "node_type", F.col("path").alias("structural_path"), "line_number", "row_count")
-    spoken = with_embedding(sentences_of(found, key), [key, "block", "idx"], "sentence", provider, "embedding")
-    flagged = window_bounds(spoken, [key, "block"], window=s.window_size, factor=s.threshold_factor)
-    pieces = greedy_flush(flagged, [key, "block"], min_sentences=s.min_sentences, min_words=s.min_words, keep_remainder=s.keep_remainder, vector="embedding" if pooled else None)
-    vector = F.col("pooled") if pooled else F.lit(None).cast("array<double>")
-    prose = _windows(pieces.select(key, "block", "piece", F.col("text").alias("body"), vector.alias("embeddings")), s).join(about, [key, "block"])
-    none = F.lit(None).cast("array<double>").alias("embeddings")
-    lists = _windows(found.where("node_type = 'LIST'").select(key, "block", F.lit(0).cast("long").alias("piece"), F.col("text").alias("body"), none), s).join(about, [key, "block"])
-    tables = found.where("node_type = 'TABLE'").select(key, "block", F.lit(0).cast("long").alias("piece"), none, F.lit(0).alias("sub"), F.col("text").alias("body")).join(about, [key, "block"])
-    path, body = F.col("structural_path"), F.col("body")
-    kind = F.col("node_type")
-    every = prose.unionByName(lists).unionByName(tables)
+    found = blocks(docs.where(F.col(text_col).isNotNull()), key, text_col).withColumnRenamed("path", "structural_path")
+    prose = F.col("node_type").isin(PROSE)
+    # All kinds of blocks go one way, a list or table as a single sentence without a vector, and carry what is known of them.
+    block = [key, "block", "node_type", "structural_path", "line_number", "row_count"]
+    units = F.when(prose, TX.sentences(F.col("text"))).otherwise(F.array("text"))
+    spoken = found.where("node_type <> 'HEADING'").select(*block, F.posexplode_outer(units).alias("idx", "sentence")).where("idx IS NOT NULL")
+    spoken = with_embedding(spoken.withColumn("_said", F.when(prose, F.col("sentence"))), [*block, "idx"], "_said", provider, "embedding").drop("_said")
+    flagged = window_bounds(spoken, block, window=s.window_size, factor=s.threshold_factor)
+    pieces = greedy_flush(flagged, block, min_sentences=s.min_sentences, min_words=s.min_words, vector="embedding" if pooled else None)
+    if not s.keep_remainder:
+        pieces = pieces.where(~prose | (F.col("n_sentences") >= s.min_sentences) | (F.col("n_words") >= s.min_words))
+    vector = F.when(prose, F.col("pooled")) if pooled else F.lit(None).cast("array<double>")
+    whole = F.col("node_type") == "TABLE"
+    cut = F.when(whole, F.array("text")).otherwise(token_windows(F.col("text"), s.max_tokens, s.overlap_tokens))
+    every = pieces.select(*block, "piece", vector.alias("embeddings"), F.posexplode_outer(cut).alias("sub", "body")).where("sub IS NOT NULL")
+    path, body, kind = F.col("structural_path"), F.col("body"), F.col("node_type")
     text = F.when(kind == "TABLE", render(path, body, "TABLE")).when(kind == "LIST", render(path, body, "LIST")).otherwise(render(path, body, "PARAGRAPH"))
-    tokens = F.when(kind != "TABLE", count_tokens(body))
-    merged = merge_undersized(every.withColumn("text", text).withColumn("token_count", tokens).drop("body"), key, ["block", "piece", "sub"], s.min_words)
+    merged = merge_undersized(every.withColumn("text", text).withColumn("token_count", F.when(~whole, count_tokens(body))).drop("body"), key, ["block", "piece", "sub"], s.min_words)
     merged = merged.withColumn("token_count", F.when(F.col("n_merged") > 1, count_tokens(F.col("text"))).otherwise(F.col("token_count")))
     index = (F.row_number().over(W.partitionBy(key).orderBy("block", "piece", "sub")) - 1).cast("long")
-    chunks = merged.withColumn("chunk_index", index).withColumn("chunk_id", TX.chunk_id(F.col(key), F.col("chunk_index")))
-    ready = with_embedding(chunks.withColumnRenamed("embeddings", "_pooled"), [key, "chunk_index"], "text", provider)
-    if pooled:
-        ready = ready.withColumn("embeddings", F.coalesce("_pooled", "embeddings"))
+    chunks = merged.withColumn("chunk_index", index).withColumn("chunk_id", TX.chunk_id(F.col(key), F.col("chunk_index"))).withColumnRenamed("embeddings", "_pooled")
+    # Only texts without a pooled vector go to the model.
+    ready = with_embedding(chunks.withColumn("_said", F.when(F.col("_pooled").isNull(), F.col("text"))), [key, "chunk_index"], "_said", provider)
+    ready = ready.withColumn("embeddings", F.coalesce("_pooled", "embeddings"))
     return ready.select(key, "chunk_id", "chunk_index", "node_type", "structural_path", "line_number", "row_count", "token_count", F.col("text").alias("text_data"), "embeddings")
 
 

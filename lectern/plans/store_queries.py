@@ -8,7 +8,7 @@ from lectern.functions import embedding as E
 from lectern.functions import text as TX
 from lectern.functions.tokens import token_windows
 from lectern.operators import agent, evaluate, search, store
-from lectern.plans.registry import query, spread, table
+from lectern.plans.registry import query, scratch, spread, table
 from lectern.plans.text_queries import windows_sql
 from lectern.plans.vector_queries import hash_sql
 
@@ -86,17 +86,24 @@ def strategy_prefix(spark, sf):
     return store.of_strategy(_eval_files(spark, sf), "semantic").select("doc_id", "id")
 
 
-@query("eval_join", f"WITH {EVAL_SQL} SELECT f.doc_id, l.quality FROM eval_files f JOIN labels l ON f.doc_id = l.doc_id WHERE f.id LIKE 'eval_semantic_%'")
+@query("eval_join", f"WITH {EVAL_SQL}, {windows_sql(400, 100)} SELECT f.doc_id, f.id AS file_id, p.chunk_index, p.text_data FROM eval_files f JOIN pieces p ON f.doc_id = p.doc_id WHERE f.id LIKE 'eval_semantic_%'")
 def eval_join(spark, sf):
-    kept = _eval_files(spark, sf).where(F.col("id").like("eval_semantic_%"))
-    return kept.join(table(spark, sf, "labels"), "doc_id").select("doc_id", "quality")
+    from lectern.operators.chunking import baseline_chunks
 
+    kept = _eval_files(spark, sf).where(F.col("id").like("eval_semantic_%")).select("doc_id", F.col("id").alias("file_id"))
+    made = baseline_chunks(spread(table(spark, sf, "documents").select("doc_id", "text")), key="doc_id")
+    return kept.join(made, "doc_id").select("doc_id", "file_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text_data")
 
-@query("json_dataset_titles", "SELECT DISTINCT source AS document_title FROM documents ORDER BY 1")
+
+@query("json_dataset_titles", "SELECT DISTINCT 'Item ' || (item_id % 10) AS document_title FROM benchmark ORDER BY 1")
 def json_dataset_titles(spark, sf):
-    from lectern.sources.files import question_titles
+    """From an evaluation set that is written as a JSON array, and read as users' sets are."""
+    from lectern.sources.files import question_titles, read_questions
 
-    return question_titles(table(spark, sf, "documents").withColumnRenamed("source", "document_title"))
+    entry = F.struct(F.col("text").alias("query"), F.concat(F.lit("Item "), (F.col("item_id") % 10).cast("string")).alias("document_title"), F.array("text").alias("expected_substrings"), F.lit("").alias("reference_answer"))
+    path = scratch(spark, "questions")
+    table(spark, sf, "benchmark").agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(path)
+    return question_titles(read_questions(spark, path))
 
 
 @query("dedupe_incoming", f"WITH {FILES_SQL} SELECT id, min(title) AS title FROM incoming WHERE id NOT IN (SELECT id FROM incoming WHERE source = 'src3') GROUP BY id")
@@ -211,15 +218,15 @@ def tool_json(spark, sf):
 SIZES = {"baseline": (400, 100), "semantic": (120, 30)}
 
 
+def _cut(docs):
+    """Chunks (chunk_id, strategy, doc_id, text) of two strategies, as one table; texts are read once for both."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("strategy"), token_windows(F.col("text"), size, overlap).alias("pieces")) for n, (size, overlap) in SIZES.items()])
+    each = docs.select("doc_id", F.explode_outer(kinds).alias("s")).select("doc_id", "s.strategy", F.posexplode_outer("s.pieces").alias("k", "text")).where("k IS NOT NULL")
+    return each.select(F.concat_ws("_", "strategy", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("chunk_id"), "strategy", "doc_id", "text")
+
+
 def _corpus(spark, sf):
-    """Chunks (chunk_id, strategy, file_id, title, text) of two strategies, as one table."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    parts = None
-    for name, (size, overlap) in SIZES.items():
-        cut = d.select("doc_id", F.posexplode_outer(token_windows(F.col("text"), size, overlap)).alias("k", "text")).where("k IS NOT NULL")
-        own = cut.select(F.concat_ws("_", F.lit(name), F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("chunk_id"), F.lit(name).alias("strategy"), "doc_id", "text")
-        parts = own if parts is None else parts.unionByName(own)
-    return parts
+    return _cut(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 CORPUS_SQL = "".join(f"{n}_docs AS (SELECT * FROM documents), {windows_sql(a, b, f'{n}_docs').replace('token_lists', f'{n}_tokens').replace('starts', f'{n}_starts').replace('pieces', f'{n}_pieces')}," for n, (a, b) in SIZES.items())
@@ -253,9 +260,11 @@ def _first_hits(spark, sf):
     asked = _questions(spark, sf)
     vectors = E.with_hash_embedding(asked, ["query_id"], "text", 64, "query_vector").select("query_id", "query_vector")
     corpus = E.with_hash_embedding(_corpus(spark, sf), ["chunk_id"], "text", 64)
-    ranked = search.batch_top_k(corpus.select("chunk_id", "strategy", "embeddings"), vectors, 5, by=["strategy"])
-    # Texts are fetched for the winners only.
-    ranked = ranked.join(_corpus(spark, sf).select("chunk_id", F.lit("").alias("title"), "text"), "chunk_id")
+    ranked = search.batch_top_k(corpus.select("chunk_id", "strategy", "doc_id", "embeddings"), vectors, 5, by=["strategy"])
+    # Only the winners' documents are cut again for their texts: five a question and strategy at most.
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    winners = _cut(docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi"))
+    ranked = ranked.join(winners.select("chunk_id", F.lit("").alias("title"), "text"), "chunk_id")
     return evaluate.first_hits(ranked, asked, spark.createDataFrame([(s,) for s in SIZES], "strategy string"))
 
 

@@ -102,9 +102,10 @@ def similarity_band(spark, sf):
     return _pairs(spark, sf).select("vec_id", TX.similarity_band(V.cosine(F.col("a"), F.col("b"))).alias("band"))
 
 
-@query("similarity_percent", "SELECT vec_id, printf('%.2f%%', (vec_id % 10000) / 10000.0::DOUBLE * 100) AS shown FROM embeddings")
+@query("similarity_percent", f"WITH {CHUNKS_SQL}, one AS (SELECT q FROM asked WHERE query_id = 0), near AS (SELECT vec_id, round(1.0 - list_cosine_distance(embeddings, q), 4) AS s FROM chunks, one) SELECT vec_id, printf('%.2f%%', s * 100) AS shown FROM near")
 def similarity_percent(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", TX.percent((F.col("vec_id") % 10000) / F.lit(10000.0)).alias("shown"))
+    one = F.array(*[F.lit(float(x)) for x in question(spark, sf)])
+    return chunks(spark, sf).select("vec_id", TX.percent(F.round(V.cosine(F.col("embeddings"), one), 4)).alias("shown"))
 
 
 @query("l2_normalize", """WITH d AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE * 3 AS x FROM embeddings)
@@ -199,6 +200,18 @@ def cluster(spark, sf):
     return boundary.cluster(_bounds(spark, sf), ["label"])
 
 
+@query("lsh_recall", "SELECT count(*)::BIGINT AS questions, 1::BIGINT AS nine_of_ten FROM embeddings WHERE vec_id % 100 = 0")
+def lsh_recall(spark, sf):
+    """Whether the approximate search, with its defaults, finds nine of ten of the exact ten nearest; questions are every hundredth vector."""
+    rows = chunks(spark, sf)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embeddings").alias("query_vector"))
+    exact = search.batch_top_k(rows, asked, 10).select("query_id", "chunk_id")
+    index, planes = search.lsh_index(rows, len(question(spark, sf)))
+    near = search.lsh_batch_top_k(index, planes, asked, 10).select("query_id", "chunk_id")
+    judged = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
+    return judged.agg(F.count_distinct("query_id").alias("questions"), (F.sum("hit") >= 0.9 * F.count(F.lit(1))).cast("long").alias("nine_of_ten"))
+
+
 # --- hash embedding ---
 
 
