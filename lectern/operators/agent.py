@@ -41,20 +41,21 @@ def parse_transcript(steps: DataFrame, text_col: str = "llm_raw_response") -> Da
     return steps.withColumn("tool", part(ACTION)).withColumn("tool_input", part(ACTION_INPUT)).withColumn("final_answer", F.trim(part(FINAL_ANSWER)))
 
 
-def type_steps(parsed: DataFrame, run: str = "run_id", order: str = "iteration", observation: str = "observation") -> DataFrame:
-    """Append ``has_retrieved`` (a content tool succeeded earlier in the run) and ``step_type``.
+# What a response is, by whether it names a tool with its input, whether it answers, and whether content was retrieved before.
+STEP_TYPES = {
+    (acts, answers, retrieved): "final_answer" if answers and retrieved else "action" if acts else "premature_final_answer" if answers else "malformed"
+    for acts in (True, False) for answers in (True, False) for retrieved in (True, False)
+}
+
 
-    A final answer counts only after retrieval; before it, a response that also has an action acts.
-    """
+def type_steps(parsed: DataFrame, run: str = "run_id", order: str = "iteration", observation: str = "observation") -> DataFrame:
+    """Append ``has_retrieved`` (a content tool succeeded earlier in the run) and ``step_type``, see STEP_TYPES."""
+    acts, answers = F.col("tool").isNotNull() & F.col("tool_input").isNotNull(), F.col("final_answer").isNotNull()
     ok = F.col("tool").isin(CONTENT_TOOLS) & F.col("tool_input").isNotNull() & ~F.coalesce(F.col(observation).startswith("Error"), F.lit(True))
     before = W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    kinds = F.create_map(*[F.lit(x) for case, kind in STEP_TYPES.items() for x in ("".join("01"[c] for c in case), kind)])
     gated = parsed.withColumn("has_retrieved", F.coalesce(F.max(ok).over(before), F.lit(False)))
-    acts, final = F.col("tool").isNotNull() & F.col("tool_input").isNotNull(), F.col("final_answer").isNotNull()
-    kind = (
-        F.when(final & ~(acts & ~F.col("has_retrieved")), F.when(F.col("has_retrieved"), "final_answer").otherwise("premature_final_answer"))
-        .when(acts, "action").otherwise("malformed")
-    )
-    return gated.withColumn("step_type", kind)
+    return gated.withColumn("step_type", kinds[F.concat(*[c.cast("int").cast("string") for c in (acts, answers, F.col("has_retrieved"))])])
 
 
 def validate_citations(answers: DataFrame, chunks: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
@@ -67,9 +68,72 @@ def validate_citations(answers: DataFrame, chunks: DataFrame, key: str = "answer
     return joined.withColumn("cleaned", cleaned)
 
 
+@dataclass(frozen=True)
+class Tool:
+    """What a model can call: ``run`` maps the input to an answer (text, or what becomes JSON); ``needs`` must be in the input."""
+
+    usage: str
+    run: Callable[[dict], object]
+    needs: tuple[str, ...] = ()
+
+    def call(self, given: str) -> str:
+        """The observation; whatever goes wrong begins with "Error"."""
+        try:
+            found = json.loads(given)
+            if lacking := [n for n in self.needs if not found.get(n)]:
+                return f"Error: the input lacks {' and '.join(lacking)}. Usage: {self.usage}"
+            answer = self.run(found)
+        except json.JSONDecodeError as e:
+            return f"Error: the input can't be read as JSON ({e.msg} at {e.pos}): {given}"
+        except Exception as e:
+            return f"Error: the call failed with {type(e).__name__}: {e}"
+        return answer if isinstance(answer, str) else json.dumps(answer, indent=2)
+
+
+def library_tools(files: DataFrame, chunks: DataFrame, embed: Callable[[str], list[float]], k: int = 4, page: int = 100) -> dict[str, Tool]:
+    """The tools over a library's files and chunks. Listings come in pages, searches give ``k`` chunks."""
+    named = chunks.withColumnRenamed("id", "chunk_id")
+
+    def listing(given: dict) -> object:
+        rows = store.list_documents(files)
+        if last := given.get("after"):
+            rows = rows.where((F.col("title") > last[0]) | ((F.col("title") == last[0]) & (F.col("id") > last[1])))
+        found = [r.asDict() for r in rows.orderBy("title", "id").limit(page + 1).collect()]
+        if len(found) <= page:
+            return found or "Nothing is stored here" + (" after that." if last else "; documents must be added first.")
+        end = found[page - 1]
+        return json.dumps(found[:page], indent=2) + f"\nThere are more: ask with {json.dumps({'after': [end['title'], end['id']]})}"
+
+    def shown(hits: DataFrame, *names: str) -> list[dict]:
+        rows = hits.select(*names, F.col("text_data").alias("text"), percent(F.col("similarity")).alias("similarity_score"))
+        return [r.asDict() for r in rows.collect()]
+
+    def everywhere(given: dict) -> object:
+        return shown(search.search_all(named, files, embed(given["query"]), k), "chunk_id", "document_title")
+
+    def within(given: dict) -> object:
+        document = store.resolve(files, given["file_id"]).first()
+        if document is None:
+            raise LookupError(f"no document has the id or a title like {given['file_id']!r}; list_documents shows them")
+        return shown(search.top_k(named, embed(given["query"]), k, document.id), "chunk_id")
+
+    def one(given: dict) -> object:
+        row = store.read_chunk(chunks, given["chunk_id"]).first()
+        if row is None:
+            raise LookupError(f"there is no chunk {given['chunk_id']!r}")
+        return row.asDict()
+
+    return {
+        "list_documents": Tool('list_documents: titles and ids, a page at a time. Input: {} or {"after": [title, id]}', listing),
+        "search_all_documents": Tool('search_all_documents: passages of any document by meaning. Input: {"query": "..."}', everywhere, ("query",)),
+        "search_document": Tool('search_document: passages of one document, by its id or title. Input: {"query": "...", "file_id": "..."}', within, ("query", "file_id")),
+        "read_chunk": Tool('read_chunk: the whole text of a passage. Input: {"chunk_id": "..."}', one, ("chunk_id",)),
+    }
+
+
 @dataclass
 class Agent:
-    """The loop. ``llm`` maps (instruction, context) to a response; ``embed`` a question to its vector."""
+    """The loop. ``llm`` maps (instruction, context) to a response; ``embed`` a question to its vector; ``tools`` add to the library's."""
 
     spark: SparkSession
     files: DataFrame
@@ -78,97 +142,51 @@ class Agent:
     embed: Callable[[str], list[float]] | None = None
     settings: Settings = DEFAULT
     require_rows: bool = False
-    tools: dict[str, tuple[Callable[[dict], str], str]] = field(default_factory=dict)
+    tools: dict[str, Tool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.embed = self.embed or (lambda text: hash_vector(text, self.settings.dim))
-        own = {
-            "list_documents": (self._list, "list_documents() - the titles and ids of all documents. Input: {}"),
-            "search_all_documents": (self._search_all, 'search_all_documents(query) - semantic search in all documents. Input: {"query": "..."}'),
-            "search_document": (self._search_one, 'search_document(query, file_id) - semantic search in one document, by id or title. Input: {"query": "...", "file_id": "..."}'),
-            "read_chunk": (self._read, 'read_chunk(chunk_id) - the full text of a chunk. Input: {"chunk_id": "..."}'),
-        }
-        self.tools = own | self.tools
-
-    def _list(self, args: dict) -> str:
-        rows = [r.asDict() for r in store.list_documents(self.files).orderBy("title", "id").collect()]
-        return json.dumps(rows, indent=2) if rows else "No documents found in the database. Please tell the user to upload files."
-
-    def _hits(self, hits: DataFrame, names: list[str]) -> str:
-        shown = hits.withColumn("similarity_score", percent(F.col("similarity"))).withColumnRenamed("text_data", "text")
-        return json.dumps([{n: r[n] for n in [*names, "similarity_score"]} for r in shown.collect()], indent=2)
-
-    def _ids(self) -> DataFrame:
-        return self.chunks.withColumnRenamed("id", "chunk_id")
-
-    def _search_all(self, args: dict) -> str:
-        if not args.get("query"):
-            return "Error: Missing 'query' parameter."
-        return self._hits(search.search_all(self._ids(), self.files, self.embed(args["query"]), 4), ["chunk_id", "document_title", "text"])
-
-    def _search_one(self, args: dict) -> str:
-        if not args.get("query") or not args.get("file_id"):
-            return "Error: Both 'query' and 'file_id' parameters are required."
-        found = store.resolve(self.files, args["file_id"]).first()
-        if found is None:
-            return f"Error: Document matching identifier '{args['file_id']}' not found. Please run 'list_documents' to see valid document titles and IDs."
-        return self._hits(search.top_k(self._ids(), self.embed(args["query"]), 4, found.id), ["chunk_id", "text"])
-
-    def _read(self, args: dict) -> str:
-        if not args.get("chunk_id"):
-            return "Error: Missing 'chunk_id' parameter."
-        row = store.read_chunk(self.chunks, args["chunk_id"]).first()
-        return json.dumps(row.asDict(), indent=2) if row else f"Error: Chunk with ID '{args['chunk_id']}' not found."
+        embed = self.embed or (lambda text: hash_vector(text, self.settings.dim))
+        self.tools = library_tools(self.files, self.chunks, embed) | self.tools
 
     def instruction(self) -> str:
-        listed = "\n".join(f"- {text}" for _, text in self.tools.values())
+        listed = "\n".join(f"- {tool.usage}" for tool in self.tools.values())
         return (
             "Answer from the documents only. Search before you answer and cite chunk ids that you were shown.\n"
             "To use a tool write\nAction: tool name\nAction Input: {JSON}\nTo answer write\nFinal Answer: text\n"
             f"Tools:\n{listed}\n"
         )
 
+    def step(self, response: str, retrieved: bool) -> dict:
+        """What a response is and leads to: ``type``, and ``content`` of an answer or ``observation`` of anything else."""
+        parts = {name: found[1] for name, p in (("tool", ACTION), ("input", ACTION_INPUT), ("answer", FINAL_ANSWER)) if (found := re.search(p, response))}
+        kind = STEP_TYPES["tool" in parts and "input" in parts, "answer" in parts, retrieved]
+        if kind == "final_answer":
+            return {"type": kind, "content": parts["answer"].strip()}
+        if kind != "action":
+            return {"type": kind, "observation": PREMATURE if kind == "premature_final_answer" else MALFORMED}
+        name = parts["tool"]
+        seen = self.tools[name].call(parts["input"]) if name in self.tools else f"Error: no tool goes by {name}; there are {', '.join(self.tools)}"
+        return {"type": kind, "tool": name, "input": parts["input"], "observation": seen}
+
+    def opens_gate(self, step: dict) -> bool:
+        """Whether a step brought content, so that an answer may follow; with ``require_rows`` an empty result is none."""
+        seen = step.get("observation", "Error")
+        return step.get("tool") in CONTENT_TOOLS and not seen.startswith("Error") and not (self.require_rows and seen.strip() in ("[]", "{}", ""))
+
     def run(self, query: str) -> tuple[str, list[dict]]:
         """(answer, steps); at most ``agent_max_iterations`` responses."""
-        context, steps, retrieved = f"Question: {query}\n", [], False
-        for iteration in range(self.settings.agent_max_iterations):
-            response = self.llm(self.instruction(), context)
-            step = {"iteration": iteration, "llm_raw_response": response}
-            steps.append(step)
-            action, given, final = (re.search(p, response) for p in (ACTION, ACTION_INPUT, FINAL_ANSWER))
-            acts = bool(action and given)
-            if final and (retrieved or not acts):
-                if retrieved:
-                    step |= {"type": "final_answer", "content": final[1].strip()}
-                    return final[1].strip(), steps
-                step |= {"type": "premature_final_answer", "observation": PREMATURE}
-            elif acts:
-                step |= {"type": "action", "tool": action[1], "input": given[1]}
-                step["observation"] = self._call(action[1], given[1])
-                bare = step["observation"].strip() in ("[]", "{}", "")
-                if action[1] in CONTENT_TOOLS and not step["observation"].startswith("Error") and not (self.require_rows and bare):
-                    retrieved = True
-            else:
-                step |= {"type": "malformed", "observation": MALFORMED}
-            seen = step["observation"]
-            if len(seen) > self.settings.observation_chars:
-                seen = seen[: self.settings.observation_chars] + CONTEXT_SUFFIX
-            context += f"\n{response}\nObservation: {seen}\n"
-        steps.append({"iteration": self.settings.agent_max_iterations, "llm_raw_response": None, "type": "timeout", "content": TIMEOUT})
+        said, steps = [f"Question: {query}\n"], []
+        most = self.settings.agent_max_iterations
+        while len(steps) < most:
+            response = self.llm(self.instruction(), "".join(said))
+            steps.append({"iteration": len(steps), "llm_raw_response": response} | self.step(response, any(map(self.opens_gate, steps))))
+            if "content" in steps[-1]:
+                return steps[-1]["content"], steps
+            seen, room = steps[-1]["observation"], self.settings.observation_chars
+            said.append(f"\n{response}\nObservation: {seen if len(seen) <= room else seen[:room] + CONTEXT_SUFFIX}\n")
+        steps.append({"iteration": most, "llm_raw_response": None, "type": "timeout", "content": TIMEOUT})
         return TIMEOUT, steps
 
-    def _call(self, name: str, given: str) -> str:
-        try:
-            args = json.loads(given)
-        except json.JSONDecodeError:
-            return f"Error: Action Input is not valid JSON: '{given}'"
-        if name not in self.tools:
-            return f"Error: Tool '{name}' is not registered."
-        try:
-            return self.tools[name][0](args)
-        except Exception as e:
-            return f"Error running tool '{name}': {e}"
-
     def ask(self, query: str) -> dict:
         """The answer with its unknown citations removed, the steps, and those citations."""
         answer, steps = self.run(query)

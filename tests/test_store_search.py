@@ -270,11 +270,22 @@ def test_agent_errors_and_limits(spark, talk):
     both = SEARCH + "\nFinal Answer: both"
     answer, steps = run(spark, talk, [both, both]).run("q")
     assert answer == "both" and [s["type"] for s in steps] == ["action", "final_answer"]
-    script = ["nonsense", 'Action: x\nAction Input: {"a": {"b": 1}}', "Action: nope\nAction Input: {}", "Action: list_documents\nAction Input: {}", 'Action: read_chunk\nAction Input: {"chunk_id": "no"}', "Action: search_document\nAction Input: {}", 'Action: search_document\nAction Input: {"query": "a", "file_id": "zz"}', "Final Answer: x"]
+    script = ["nonsense", 'Action: read_chunk\nAction Input: {"a": {"b": 1}}', "Action: nope\nAction Input: {}", "Action: list_documents\nAction Input: {}", 'Action: read_chunk\nAction Input: {"chunk_id": "no"}', "Action: search_document\nAction Input: {}", 'Action: search_document\nAction Input: {"query": "a", "file_id": "zz"}', "Final Answer: x"]
     answer, steps = run(spark, talk, script).run("q")
     assert answer == agent.TIMEOUT and steps[-1]["type"] == "timeout" and steps[7]["type"] == "premature_final_answer"
     seen = [s["observation"][:20] for s in steps[:7]]
-    assert seen[0].startswith("Error: Your output") and seen[1].startswith("Error: Action Input") and "nope" in steps[2]["observation"] and "Peter-Pan" in steps[3]["observation"]
+    assert seen[0].startswith("Error: Your output") and seen[1].startswith("Error: the input") and "nope" in steps[2]["observation"] and "Peter-Pan" in steps[3]["observation"]
+
+
+def test_listings_come_in_pages(spark):
+    files = spark.createDataFrame([(f"f{i}", f"T{i // 2}", "t") for i in range(5)], "id string, title string, extracted_text string")
+    tool = agent.library_tools(files, files, hash_vector, page=2)["list_documents"]
+    given, seen = "{}", []
+    while given:
+        rows, _, more = tool.call(given).partition("\nThere are more: ask with ")
+        given = more
+        seen += [r["id"] for r in json.loads(rows)]
+    assert seen == ["f0", "f1", "f2", "f3", "f4"] and "added first" in agent.library_tools(files.limit(0), files, hash_vector)["list_documents"].call("{}")
 
 
 def test_transcripts_are_typed_like_the_loop(spark, talk):
