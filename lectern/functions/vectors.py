@@ -53,8 +53,16 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, out: str = "pooled")
     return means.groupBy(*keys).agg(F.transform(ordered, lambda p: p["_m"]).alias(out))
 
 
+MATRIX_ROWS = 512
+
+
 def similarity_matrix(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """Rows (group, key_a, key_b, similarity) for all pairs within each group, as a matrix is asked for; zero vectors give 0."""
-    left = df.select(group, F.col(key).alias("key_a"), F.col(vector).alias("_a"))
-    right = df.select(group, F.col(key).alias("key_b"), F.col(vector).alias("_b"))
-    return left.join(right, group).select(group, "key_a", "key_b", cosine(F.col("_a"), F.col("_b")).alias("similarity"))
+    """Rows (group, key_a, key_b, similarity) for all pairs within each group, as a matrix is asked for; zero vectors give 0.
+
+    A group's matrix is made in strips of some MATRIX_ROWS rows, so that a large group is many tasks.
+    """
+    strips = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / MATRIX_ROWS).cast("int").alias("_n"))
+    rows = df.select(group, key, vector).join(strips, group)
+    left = rows.select(group, F.pmod(F.xxhash64(key), "_n").cast("int").alias("_s"), F.col(key).alias("key_a"), F.col(vector).alias("_a"))
+    right = rows.select(group, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.col(key).alias("key_b"), F.col(vector).alias("_b"))
+    return left.join(right, [group, "_s"]).select(group, "key_a", "key_b", cosine(F.col("_a"), F.col("_b")).alias("similarity"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.config import DEFAULT, Settings
 from lectern.functions import text as TX
 from lectern.functions.embedding import Provider, with_embedding
-from lectern.functions.tokens import count_tokens, token_windows
+from lectern.functions.tokens import count_for, windows_for
 from lectern.operators.boundary import greedy_flush, window_bounds
 from lectern.operators.structure import blocks
 
@@ -75,12 +75,12 @@ def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, provider: Provider |
         pieces = pieces.where(~prose | (F.col("n_sentences") >= s.min_sentences) | (F.col("n_words") >= s.min_words))
     vector = F.when(prose, F.col("pooled")) if pooled else F.lit(None).cast("array<double>")
     whole = F.col("node_type") == "TABLE"
-    cut = F.when(whole, F.array("text")).otherwise(token_windows(F.col("text"), s.max_tokens, s.overlap_tokens))
-    every = pieces.select(*block, "piece", vector.alias("embeddings"), F.posexplode_outer(cut).alias("sub", "body")).where("sub IS NOT NULL")
+    cut = pieces.withColumn("_cut", F.when(whole, F.array("text")).otherwise(windows_for(F.col("text"), s)))
+    every = cut.select(*block, "piece", vector.alias("embeddings"), F.posexplode_outer("_cut").alias("sub", "body")).where("sub IS NOT NULL")
     path, body, kind = F.col("structural_path"), F.col("body"), F.col("node_type")
     text = F.when(kind == "TABLE", render(path, body, "TABLE")).when(kind == "LIST", render(path, body, "LIST")).otherwise(render(path, body, "PARAGRAPH"))
-    merged = merge_undersized(every.withColumn("text", text).withColumn("token_count", F.when(~whole, count_tokens(body))).drop("body"), key, ["block", "piece", "sub"], s.min_words)
-    merged = merged.withColumn("token_count", F.when(F.col("n_merged") > 1, count_tokens(F.col("text"))).otherwise(F.col("token_count")))
+    merged = merge_undersized(every.withColumn("text", text).withColumn("token_count", F.when(~whole, count_for(body, s))).drop("body"), key, ["block", "piece", "sub"], s.min_words)
+    merged = merged.withColumn("token_count", F.when(F.col("n_merged") > 1, count_for(F.col("text"), s)).otherwise(F.col("token_count")))
     index = (F.row_number().over(W.partitionBy(key).orderBy("block", "piece", "sub")) - 1).cast("long")
     chunks = merged.withColumn("chunk_index", index).withColumn("chunk_id", TX.chunk_id(F.col(key), F.col("chunk_index"))).withColumnRenamed("embeddings", "_pooled")
     # Only texts without a pooled vector go to the model.
@@ -91,4 +91,4 @@ def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, provider: Provider |
 
 def baseline_chunks(docs: DataFrame, s: Settings = DEFAULT, key: str = "file_id", text_col: str = "text") -> DataFrame:
     """Rows (key, chunk_index, text_data): token windows over the whole text, without structure."""
-    return docs.select(key, F.posexplode_outer(token_windows(F.col(text_col), s.max_tokens, s.overlap_tokens)).alias("chunk_index", "text_data")).where("chunk_index IS NOT NULL")
+    return docs.select(key, windows_for(F.col(text_col), s).alias("_cut")).select(key, F.posexplode_outer("_cut").alias("chunk_index", "text_data")).where("chunk_index IS NOT NULL")

@@ -120,3 +120,23 @@ def test_custom_provider_as_udf(spark):
         E.build(E.Provider("nobody"))
     report = E.check_provider(E.Provider("hashing", dim=64))
     assert report["dim_ok"] and report["unit"] and report["closer"]
+
+
+def test_byte_pair_budget(spark):
+    """The windows and counts of chunks are those of a rank file where the settings name one."""
+    import public_tokenizers as P
+
+    from lectern.functions.tokens import _encoding
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    code = _encoding(path, P.PATTERN)
+    text = "# A\n" + "\n".join(f"- item number {i} of the uncommonly long list" for i in range(30))
+    docs = spark.createDataFrame([("f", text)], "file_id string, text string")
+    s = Settings(max_tokens=50, overlap_tokens=10, ranks=path, pattern=P.PATTERN)
+    rows = chunking.chunk_documents(docs, s).orderBy("chunk_index").collect()
+    body = text.split("\n", 1)[1]
+    ids = code.encode_ordinary(body)
+    want = [code.decode(ids[a : a + 50]) for a in range(0, len(ids) - 50 + 40, 40)]
+    assert [r.text_data.split("Content:\n", 1)[1] for r in rows] == want and [r.token_count for r in rows] == [len(code.encode_ordinary(w)) for w in want]
+    whole = chunking.baseline_chunks(docs, s).orderBy("chunk_index").collect()
+    assert "".join(code.decode(code.encode_ordinary(r.text_data)[: 40 if i < len(whole) - 1 else None]) for i, r in enumerate(whole)) == text
