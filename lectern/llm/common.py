@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,45 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+_watching: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/lectern/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; ``clear`` deletes those of an application."""
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _watching:
+        paths.append(path)
+    return path
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch of this application: when no result of an operator is read any more."""
+    _delete(spark, _own_dir(spark))
+
+
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The scratch paths that are made inside, for ``discard_paths`` once what was read from them is written elsewhere."""
+    paths: list[str] = []
+    _watching.append(paths)
+    try:
+        yield paths
+    finally:
+        _watching.remove(paths)
+
+
+def discard_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -49,9 +86,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for these tables, once nothing reads them any more."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, df.scratch_path)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 # Families of masks; a mask looks at the words marked 1. Items take the first family that is complete for their windows.
 FAMILIES = (("11011",), ("11101", "100111"), ("1101", "1011"), ("101",), ("11",), ("1",))
@@ -144,6 +144,7 @@ def find_overlaps(
     span = max(map(len, masks), default=1)
     laid = [_laid(items.where(F.col("_size").isin(sizes)), m, window, span) for f, sizes in sorted(families.items()) for m in FAMILIES[f]]
     seeds = materialize(reduce(DataFrame.unionByName, laid or [_laid(items, "1", window, span)]), "seeds")
+    discard(items)
     small = seeds.count() <= BROADCAST_SEEDS
     texts = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("_h")).withColumn("_text", F.xxhash64("_h"))
     met = _met(texts, seeds, masks, window, small).join(F.broadcast(seeds) if small else seeds, "key").withColumn("_shift", F.col("at") - F.col("_at"))
@@ -178,6 +179,10 @@ def _laid(items: DataFrame, mask: str, window: int, span: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose key has an overlap with a benchmark item; see ``find_overlaps``."""
+    """``docs`` without the rows whose key has an overlap with a benchmark item; see ``find_overlaps``.
+
+    Rows without a key are one document, so all of them go if one has an overlap; null and empty texts alone have none.
+    Rows that repeat go or stay together, and columns of any names pass through.
+    """
     bad = materialize(find_overlaps(docs, benchmark, doc_key, **options).select(F.col(doc_key).alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, docs[doc_key].eqNullSafe(bad["_bad"]), "left_anti")

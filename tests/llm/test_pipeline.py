@@ -67,6 +67,27 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, sf):
     assert len([k for k in left if k is not None]) == len({k for k in left if k is not None}) and left.count(None) == 2
 
 
+def test_stages_take_columns_with_their_own_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clash = ["score", "stats", "_bad", "class_id", "key", "rep", "label", "ids", "decoded", "n_lines", "hash", "_text", "_doc"]
+    odd = docs.select("*", *[F.lit("extra").alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, found = stage(spark, docs, sf), stage(spark, odd, sf)
+        assert found.count() == plain.count(), name
+        if stage is not corpus_pipeline.encode:
+            assert found.columns == odd.columns and found.where(F.col("score") != "extra").count() == 0, name
+
+
+def test_run_leaves_only_what_its_rows_are_read_from(spark, sf):
+    from lectern.llm.common import watched
+
+    with watched() as paths:
+        out = corpus_pipeline.run(spark, sf)
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    left = [p for p in paths if fs(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(p))]
+    assert len(left) == 1 and "stage-benchmark" in left[0] and out.count() > 0
+
+
 def test_queries_are_complete():
     assert [f"op{n}" for n in range(1, 11)] == sorted((k.split("_")[0] for k in QUERIES), key=lambda k: int(k[2:])) and set(ORACLE_SQL) <= set(QUERIES)
 
