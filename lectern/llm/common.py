@@ -60,7 +60,7 @@ def watched() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _watching.remove(paths)
+        _watching.pop()  # the innermost
 
 
 def discard_paths(spark: SparkSession, paths: list[str]) -> None:
