@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from lectern.llm import bpe, decontam, jaccard, lines, quality
-from lectern.llm.common import materialize, unused
+from lectern.llm.common import discard, discard_paths, materialize, unused, watched
 
 QUALITY = 0.3
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,12 +55,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows without a verified overlap with a benchmark item; see ``decontam.drop_contaminated``."""
+    """The rows without a verified overlap with a benchmark item; see ``decontam.drop_contaminated``.
+
+    Null and empty texts have no overlap; rows that share a doc_id (or have none) go together; other columns pass through.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, lang, source, n_tokens, ids, decoded_sha256): the token ids, and the digest of the text they decode to."""
+    """Rows (doc_id, lang, source, n_tokens, ids, decoded_sha256): the token ids, and the digest of the text they decode to.
+
+    One for each row, repeated ones too; null and empty texts have no ids and the digest of nothing; other columns are not read.
+    """
     both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -80,6 +86,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with watched() as made:
+            rows = stage(spark, docs, sf_dir)
+        docs = materialize(rows, "stage-" + name.replace(" ", "-"))
+        # Nothing reads the stage's own tables any more, nor those of the stage before.
+        discard_paths(spark, made)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
