@@ -17,6 +17,12 @@ BROADCAST_LINES = 200_000
 SALTS = 64
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and a leading "www."; null where there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?(\[[^]]*\]|[^/?#:]+)", 1)
+    return F.when(host != "", host)
+
+
 def _key(line: Column) -> Column:
     """128 bits of a line: two 64-bit hashes of different seeds."""
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))

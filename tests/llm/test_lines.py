@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import lines
 from .conftest import python_free
@@ -38,3 +39,12 @@ def test_messy(spark, messy, texts):
     got = sorted(str(tuple(r)) for r in out.select("doc_id", "text", "n_lines", "n_dropped").collect())
     assert got == sorted(str(r) for r in brute(texts, 0.05, 3)) and sorted(out.columns) == sorted(messy.columns)
     assert lines.drop_boilerplate(messy.limit(0)).count() == 0
+
+
+def test_hosts_of_urls(spark):
+    urls = [("http://a.example.com/x?y=z://q", "a.example.com"), ("HTTPS://user:pw@WWW.B.org:8080#top", "b.org"), ("ftp://[::1]:21/f", "[::1]"), ("no url", None), ("http:///path", None), ("", None), (None, None)]
+    df = spark.createDataFrame(urls, "url string, want string")
+    assert [(r.h, r.want) for r in df.select(lines.host_of(F.col("url")).alias("h"), "want").collect()] == [(w, w) for _, w in urls]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", f"page {i} of {h}\nMenu {h}") for h in ("a.org", "b.org") for i in range(30)], "page_id long, url string, html string")
+    out = lines.drop_boilerplate(pages.withColumn("host", lines.host_of(F.col("url"))), "host", "html")
+    assert {r.html for r in out.collect()} == {f"page {i} of {h}" for h in ("a.org", "b.org") for i in range(30)}
