@@ -9,7 +9,7 @@ from lectern.functions.tokens import count_tokens, token_windows
 from lectern.operators import chunking, structure
 from lectern.plans.registry import query, spread, table
 
-NOISE = "\n1 of 95 \n  \n6/6/26, 23:58 \nhttp://www.gutenberg.org/ebooks/16 \n  kept  "
+NOISE = "\n3 of 12 \n  \n4/9/25, 07:15 \nhttp://www.gutenberg.org/ebooks/2701 \n  kept  "
 
 
 def documents(spark, sf):

@@ -12,7 +12,7 @@ def library(spark):
     lib.create_tables()
     lib.wipe()
     docs = spark.createDataFrame(
-        [("Peter Pan", "# Flight\nPeter flew over the sea to Neverland. The lost boys waited there.\n\n# Home\nWendy stayed in London with her mother."), ("Magi", "Della sold her hair. Jim sold his watch."), ("Empty", " ")],
+        [("Ferry Log", "# Crossing\nThe ferry sailed over the sea to Lowhaven. The night crew waited there.\n\n# Quay\nMarta stayed in Highport with her mother."), ("Ledger", "Nora sold her lamp. Otto sold his watch."), ("Empty", " ")],
         "title string, text string",
     )
     assert lib.ingest(docs, "b1")["documents"] == 2
@@ -22,22 +22,22 @@ def library(spark):
 
 def test_lookups_and_search(spark, library):
     assert library.ping() and library.list_documents().count() == 2
-    pan = library.resolve("peter")
-    assert library.get_document(pan).first().title == "Peter Pan" and library.resolve("nobody") is None
+    log = library.resolve("ferry")
+    assert library.get_document(log).first().title == "Ferry Log" and library.resolve("nobody") is None
     hit = library.search_all("Who sold a watch?", 1).first()
-    assert hit.document_title == "Magi" and library.read_chunk(hit.chunk_id).first().text == hit.text_data
-    assert library.search_document("Neverland sea", "Peter Pan", 1).first().text_data.startswith("Context: Flight")
+    assert hit.document_title == "Ledger" and library.read_chunk(hit.chunk_id).first().text == hit.text_data
+    assert library.search_document("Lowhaven sea", "Ferry Log", 1).first().text_data.startswith("Context: Crossing")
     assert library.search_document("x", "nobody").count() == 0
-    asked = spark.createDataFrame([(1, "lost boys of Neverland"), (2, "hair and watch")], "query_id int, query string")
+    asked = spark.createDataFrame([(1, "night crew of Lowhaven"), (2, "lamp and watch")], "query_id int, query string")
     best = {r.query_id: r.text_data for r in library.search_batch(asked, 1).collect()}
-    assert "Neverland" in best[1] and "watch" in best[2]
+    assert "Lowhaven" in best[1] and "watch" in best[2]
     assert library.ingest_status("b1").first().status == "SUCCESS" and library.check_embeddings()["dim_ok"]
 
 
 def test_ask(library):
-    script = iter(['Action: search_all_documents\nAction Input: {"query": "watch"}', "Final Answer: Jim sold it [chk_000000]."])
+    script = iter(['Action: search_all_documents\nAction Input: {"query": "watch"}', "Final Answer: Otto sold it [chk_000000]."])
     got = library.ask("Who?", lambda instruction, context: next(script))
-    assert got["answer"] == "Jim sold it [[unverified citation removed]]." and got["unverified_citations"] == ["chk_000000"]
+    assert got["answer"] == "Otto sold it [[unverified citation removed]]." and got["unverified_citations"] == ["chk_000000"]
 
 
 def test_evaluation(spark, library):

@@ -246,8 +246,8 @@ def test_evaluation(spark):
 
 @pytest.fixture(scope="module")
 def talk(spark):
-    files = spark.createDataFrame([("f1", "Peter-Pan.pdf", "t")], "id string, title string, extracted_text string")
-    chunks = spark.createDataFrame([("chk_aaaaaa", "f1", 0, "Peter flew to Neverland", hash_vector("Peter flew to Neverland"))], "id string, file_id string, chunk_index long, text_data string, embeddings array<double>")
+    files = spark.createDataFrame([("f1", "Harbour-Log.pdf", "t")], "id string, title string, extracted_text string")
+    chunks = spark.createDataFrame([("chk_aaaaaa", "f1", 0, "The ferry reached Lowhaven", hash_vector("The ferry reached Lowhaven"))], "id string, file_id string, chunk_index long, text_data string, embeddings array<double>")
     return files, chunks
 
 
@@ -256,14 +256,14 @@ def run(spark, talk, answers, **options):
     return agent.Agent(spark, *talk, llm=lambda instruction, context: next(it), **options)
 
 
-SEARCH = 'Thought: t\nAction: search_all_documents\nAction Input: {"query": "Neverland"}'
+SEARCH = 'Thought: t\nAction: search_all_documents\nAction Input: {"query": "Lowhaven"}'
 
 
 def test_agent_answers_after_a_search(spark, talk):
-    got = run(spark, talk, ["Final Answer: early", SEARCH, "Final Answer: He flew [chk_aaaaaa] [chk_aaaaaa1] [chk_ffffff]"]).ask("Where?")
+    got = run(spark, talk, ["Final Answer: early", SEARCH, "Final Answer: By ferry [chk_aaaaaa] [chk_aaaaaa1] [chk_ffffff]"]).ask("Where?")
     assert [s["type"] for s in got["steps"]] == ["premature_final_answer", "action", "final_answer"]
-    assert got["answer"] == f"He flew [chk_aaaaaa] [{agent.REMOVED}] [{agent.REMOVED}]" and got["unverified_citations"] == ["chk_aaaaaa1", "chk_ffffff"]
-    assert json.loads(got["steps"][1]["observation"])[0]["document_title"] == "Peter-Pan.pdf"
+    assert got["answer"] == f"By ferry [chk_aaaaaa] [{agent.REMOVED}] [{agent.REMOVED}]" and got["unverified_citations"] == ["chk_aaaaaa1", "chk_ffffff"]
+    assert json.loads(got["steps"][1]["observation"])[0]["document_title"] == "Harbour-Log.pdf"
 
 
 def test_agent_errors_and_limits(spark, talk):
@@ -274,7 +274,7 @@ def test_agent_errors_and_limits(spark, talk):
     answer, steps = run(spark, talk, script).run("q")
     assert answer == agent.TIMEOUT and steps[-1]["type"] == "timeout" and steps[7]["type"] == "premature_final_answer"
     seen = [s["observation"][:20] for s in steps[:7]]
-    assert seen[0].startswith("Error: Your output") and seen[1].startswith("Error: the input") and "nope" in steps[2]["observation"] and "Peter-Pan" in steps[3]["observation"]
+    assert seen[0].startswith("Error: Your output") and seen[1].startswith("Error: the input") and "nope" in steps[2]["observation"] and "Harbour-Log" in steps[3]["observation"]
 
 
 def test_listings_come_in_pages(spark):

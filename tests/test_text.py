@@ -14,10 +14,10 @@ def values(spark, texts, column):
 
 def test_clean_lines(spark):
     cases = {
-        "Firefox \nThis is a real sentence.": "This is a real sentence.",
-        "1 of 95 \nWendy was sleeping.": "Wendy was sleeping.",
-        "6/6/26, 23:58 \nPeter Pan flew in.": "Peter Pan flew in.",
-        "http://www.gutenberg.org/ebooks/16 \nKeep this line.": "Keep this line.",
+        "Firefox \nRain fell on the harbour.": "Rain fell on the harbour.",
+        "3 of 12 \nNobody heard the bell.": "Nobody heard the bell.",
+        "4/9/25, 07:15 \nThe ferry came late.": "The ferry came late.",
+        "http://www.gutenberg.org/ebooks/2701 \nA line that stays.": "A line that stays.",
         "firefox\n1 of 10\n\n6/6/26, 12:00": "",
         "  indented  \n \t \nfirefox is a browser": "  indented  \n\nfirefox is a browser",
     }
@@ -25,14 +25,14 @@ def test_clean_lines(spark):
 
 
 def test_titles(spark):
-    paths = ["/dummy/path/my_awesome_file.pdf", "/complex-path/another.directory/my.awesome-document-v2.0.pdf", "été_ÀB9c.pdf"]
-    assert values(spark, paths, TX.title_of_path) == ["My_Awesome_File", "My.Awesome-Document-V2.0", "été_àb9c".title()]
+    paths = ["/data/in/annual_report_draft.pdf", "/a-b/c.d/quarterly.cash-flow-v3.1.pdf", "été_ÀB9c.pdf"]
+    assert values(spark, paths, TX.title_of_path) == ["Annual_Report_Draft", "Quarterly.Cash-Flow-V3.1", "été_àb9c".title()]
 
 
 def test_sentences(spark):
-    texts = ["Dr. Smith lives in the U.S.A. He is a good man.", "", "  ", None, "J. Doe left! Why? Mr. X knows.  No end"]
+    texts = ["Dr. Okafor sailed from the U.K. She came back.", "", "  ", None, "J. Doe left! Why? Mr. X knows.  No end"]
     found = values(spark, texts, TX.sentences)
-    assert found == [["Dr. Smith lives in the U.S.A.", "He is a good man."], [], [], None, ["J. Doe left!", "Why?", "Mr. X knows.", "No end"]]
+    assert found == [["Dr. Okafor sailed from the U.K.", "She came back."], [], [], None, ["J. Doe left!", "Why?", "Mr. X knows.", "No end"]]
 
 
 def test_white_space_is_pythons(spark):
@@ -68,13 +68,13 @@ def windows(tokens, size, overlap):
     return out
 
 
-FRUIT = "apple banana cherry date elderberry fig grape honeydew kiwi lemon mango nectarine orange"
+TOOLS = "anvil bellows chisel drill emery file gouge hammer iron jig knife lathe mallet"
 
 
 @pytest.mark.parametrize(("size", "overlap"), [(10, 3), (10, 12), (10, 10), (5, 0), (13, 3), (3, 1)])
 def test_token_windows_equal_the_loop(spark, size, overlap):
     random.seed(size)
-    texts = [FRUIT, "", "one", "  lead", "trail \n ", "你好，世界！ 😊🤖 x y"] + [" ".join("w" * random.randint(1, 3) for _ in range(n)) for n in range(0, 60, 3)]
+    texts = [TOOLS, "", "one", "  lead", "trail \n ", "你好，世界！ 😊🤖 x y"] + [" ".join("w" * random.randint(1, 3) for _ in range(n)) for n in range(0, 60, 3)]
     tokens = values(spark, texts, regex_tokens)
     assert ["".join(t) for t in tokens] == texts
     assert values(spark, texts, lambda c: token_windows(c, size, overlap)) == [windows(t, size, overlap) for t in tokens]
@@ -87,14 +87,14 @@ def test_stride():
 def test_bpe_windows(spark):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_50k.tiktoken")
-    counts = values(spark, [FRUIT, "", None, "<|endoftext|>"], bpe_count(path, P.PATTERN))
+    counts = values(spark, [TOOLS, "", None, "<|endoftext|>"], bpe_count(path, P.PATTERN))
     assert counts[1:3] == [0, None] and counts[0] > 13 and counts[3] > 1
-    found = values(spark, [FRUIT, "Short text.", ""], bpe_windows(path, P.PATTERN, 10, 3))
-    assert len(found[0]) > 1 and found[1:] == [["Short text."], [""]] and found[0][0] == FRUIT[: len(found[0][0])]
+    found = values(spark, [TOOLS, "Short text.", ""], bpe_windows(path, P.PATTERN, 10, 3))
+    assert len(found[0]) > 1 and found[1:] == [["Short text."], [""]] and found[0][0] == TOOLS[: len(found[0][0])]
 
 
 def test_bands_and_hits(spark):
     df = spark.createDataFrame([(0.6,), (0.5,), (0.3,), (0.31,)], "s double")
     assert [r[0] for r in df.select(TX.similarity_band(F.col("s"))).collect()] == ["green", "yellow", "red", "yellow"]
-    rows = spark.createDataFrame([("Peter-Pan.pdf [x]", "The LOST boys", "Peter-Pan.pdf", ["lost Boys"]), ("Other", "lost boys", "Peter", ["lost"]), ("P", "t", "P", [])], "t string, x string, d string, s array<string>")
+    rows = spark.createDataFrame([("Harbour-Log.pdf [x]", "The LOST boys", "Harbour-Log.pdf", ["lost Boys"]), ("Other", "lost boys", "Harbour", ["lost"]), ("P", "t", "P", [])], "t string, x string, d string, s array<string>")
     assert [r[0] for r in rows.select(TX.is_hit(F.col("t"), F.col("x"), F.col("d"), F.col("s"))).collect()] == [True, False, False]
