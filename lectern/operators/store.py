@@ -23,9 +23,12 @@ def split_empty(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
 
 
 def new_files(incoming: DataFrame, files: DataFrame) -> DataFrame:
-    """The incoming files whose id isn't known yet, one of each; of several titles the least stays."""
-    least = incoming.groupBy("id").agg(F.min_by("title", "title").alias("title"), F.min("extracted_text").alias("extracted_text"))
-    return least.join(files.select("id"), "id", "left_anti")
+    """The incoming files whose id isn't known yet, one of each; of several titles the least stays.
+
+    Ids and titles alone decide which; only then are the texts of these fetched, and none of the files that are known.
+    """
+    least = incoming.groupBy("id").agg(F.min("title").alias("_least")).join(files.select("id"), "id", "left_anti")
+    return incoming.join(least, "id").where(F.col("title").eqNullSafe(F.col("_least"))).dropDuplicates(["id"]).select("id", "title", "extracted_text")
 
 
 def duplicates(incoming: DataFrame, files: DataFrame) -> DataFrame:
