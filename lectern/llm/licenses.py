@@ -24,7 +24,7 @@ from .common import append_columns
 
 # Base phrases and their labels.
 BASE = {
-    "the mit license": "mit",
+    "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
@@ -33,6 +33,7 @@ BASE = {
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge", "deal in the software without restriction"]),
     ("mit", "released under the mit license", ["under the mit license"]),
+    ("mit", "the mit license", ["the mit license"]),
     ("apache-2", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", ["apache license version 2 0", "except in compliance with the license"]),
     ("apache-2", "licensed under the apache license version 2.0", ["apache license version 2 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),

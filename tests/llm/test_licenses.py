@@ -25,6 +25,18 @@ def test_base_phrases():
         assert (n, starts, labels) == brute(t), t
 
 
+def test_base_phrases_are_the_contracts():
+    index = licenses.Index()
+    for text, starts, labels in (
+        ("Released under the MIT License, under THE-MIT license.", [1, 5], ["mit"]),
+        ("The MIT License: with the mit license", [], []),
+        ("under the mit x license apache license version 2.0 under cc by-nc", [5, 11], ["apache-2", "cc-by-nc"]),
+    ):
+        assert index.scan(text)[1:3] == (starts, labels), text
+    # The name alone is no base phrase; the method labels it.
+    assert {m[0] for m in index.scan("The MIT License: with the mit license")[3]} == {"mit"}
+
+
 def test_method_labels():
     index = licenses.Index()
     labels = lambda t: {m[0] for m in index.scan(t)[3]}
